@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import bpe, knn, mixing, quality_rules, sharding, toxicity
+from lectern.llm.common import checkpoint_dir, read_table
+
 
-from lectern.llm import bpe
-from lectern.llm.common import read_table
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rule and certified cutoffs for every document."""
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and verdict for every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +29,25 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op7_bpe": op7_bpe}
-ORACLE: dict[str, str] = {}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document, sources tempered by the square root of their size."""
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op9_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best neighbours of every 50th vector among all."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return knn.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended as eight arrivals, compacted, and read back through the manifest."""
+    store = sharding.ShardStore(spark, f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}", target_bytes=64 << 20)
+    store.append(read_table(spark, sf_dir, "documents"), F.pmod("doc_id", F.lit(8)))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_toxicity, op7_bpe, op8_mixing, op9_voronoi_knn, op10_sharding)}
+ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE, "op9_voronoi_knn": knn.ORACLE, "op10_sharding": sharding.ORACLE}
