@@ -2,7 +2,7 @@
 
 Features are sparse: the distinct lower-cased words of a text, stripped of punctuation at both ends, and their
 prefixes of 3 to 6 characters, of which screening keeps those that go with toxicity beyond chance (G2 statistic). The
-model is P(grade > k) = sigmoid(w.x - t_k): one weight vector for all thresholds t_1 < t_2 < ...
+model is P(grade > k) = sigmoid(w.x - t_k), x being the features present, scaled to unit length: one weight vector for all thresholds t_1 < t_2 < ...
 Labels only say toxic or not, so grades 1 to 3 of toxic rows are the thirds of their number of
 distinct words with a screened feature; grade 0 is not toxic.
 
@@ -56,30 +56,34 @@ class Lookup(dict):
         return sorted({i for x in hits for i in x}), len(hits)
 
 
-def fit(rows: list[list[int]], grades: np.ndarray, n_features: int, l2: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[list[int]], grades: np.ndarray, n_features: int, l2: float = 1e-6, rounds: int = 2_500) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds, by full-batch Adam on the penalized likelihood."""
     k = int(grades.max())
+    base = np.array([np.log(max(1e-4, (grades <= g).mean()) / max(1e-4, (grades > g).mean())) for g in range(k)])
+    alike = Counter(zip(map(tuple, rows), grades.tolist()))  # equal rows count together
+    rows, grades = [r for r, _ in alike], np.array([g for _, g in alike])
+    share = np.array(list(alike.values())) / sum(alike.values())
     lens = np.array([len(r) for r in rows])
     idx = np.concatenate([np.array(r, np.int64) for r in rows if r] or [np.zeros(0, np.int64)])
     owner = np.repeat(np.arange(len(rows)), lens)
+    value = np.repeat(1 / np.sqrt(np.maximum(lens, 1)), lens)
     w = np.zeros(n_features)
-    base = np.array([np.log(max(1e-4, (grades <= g).mean()) / max(1e-4, (grades > g).mean())) for g in range(k)])
     free = np.concatenate([base[:1], np.log(np.maximum(np.diff(base), 0.05))])  # first threshold, log gaps
     m, v = np.zeros(n_features + k), np.zeros(n_features + k)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, rounds + 1):
         gaps = np.exp(free[1:])
         theta = free[0] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.bincount(owner, w[idx], len(rows))
+        score = np.bincount(owner, w[idx] * value, len(rows))
         edge = np.concatenate([[-np.inf], theta, [np.inf]])
         up, low = sig(edge[grades + 1] - score), sig(edge[grades] - score)
         p = np.maximum(up - low, 1e-12)
         du, dl = up * (1 - up) / p, low * (1 - low) / p
-        g_score = (du - dl) / len(rows)  # of the mean negative log-likelihood
+        g_score = (du - dl) * share  # of the mean negative log-likelihood
         g_theta = np.zeros(k)
-        np.add.at(g_theta, grades[grades < k], -du[grades < k] / len(rows))
-        np.add.at(g_theta, grades[grades > 0] - 1, dl[grades > 0] / len(rows))
-        g_w = np.bincount(idx, g_score[owner], n_features) + l2 * w
+        np.add.at(g_theta, grades[grades < k], -(du * share)[grades < k])
+        np.add.at(g_theta, grades[grades > 0] - 1, (dl * share)[grades > 0])
+        g_w = np.bincount(idx, g_score[owner] * value, n_features) + l2 * w
         tail = np.cumsum(g_theta[::-1])[::-1]
         g = np.concatenate([g_w, [tail[0]], tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -95,7 +99,7 @@ class Model:
 
     def above(self, present: list[int]) -> np.ndarray:
         """P(grade > k) for k = 0, 1, ..."""
-        z = self.weights[present].sum() if present else 0.0
+        z = self.weights[present].sum() / len(present) ** 0.5 if present else 0.0
         return 1 / (1 + np.exp(np.clip(self.thresholds - z, -40, 40)))
 
 
