@@ -152,3 +152,17 @@ def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
 
 def arrow_rows(schema: pa.Schema, cols: list[list | np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of consecutive rows that agree in the first ``keys`` columns; the input is sorted by them."""
+    held, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[:keys] != held:
+                if rows:
+                    yield held, rows
+                held, rows = row[:keys], []
+            rows.append(row)
+    if rows:
+        yield held, rows
