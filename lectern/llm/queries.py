@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, knn, minhash, mixing, quality_rules, sharding, toxicity
+from lectern.llm import bpe, knn, line_dedup, minhash, mixing, quality_rules, sharding, toxicity
 from lectern.llm.common import checkpoint_dir, read_table
 
 
@@ -23,6 +23,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document with the classes they fall in."""
+    return line_dedup.line_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document; 3-word shingles, similarity of 0.85 or more."""
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), 3, 85)
@@ -54,5 +59,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_toxicity, op6_minhash, op7_bpe, op8_mixing, op9_voronoi_knn, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_toxicity, op5_line_dedup, op6_minhash, op7_bpe, op8_mixing, op9_voronoi_knn, op10_sharding)}
 ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE, "op9_voronoi_knn": knn.ORACLE, "op10_sharding": sharding.ORACLE}
