@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, knn, line_dedup, minhash, mixing, quality_rules, sharding, substring_dedup, toxicity
+from lectern.llm import bpe, knn, line_dedup, minhash, mixing, quality_rules, sharding, substring_dedup, token_counts, toxicity
 from lectern.llm.common import checkpoint_dir, read_table
 
 
@@ -22,6 +22,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return token_counts.attribute(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity and verdict for every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -64,5 +69,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_toxicity, op5_line_dedup, op6_minhash, op7_bpe, op8_mixing, op9_voronoi_knn, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_token_counts, op4_toxicity, op5_line_dedup, op6_minhash, op7_bpe, op8_mixing, op9_voronoi_knn, op10_sharding)}
 ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE, "op9_voronoi_knn": knn.ORACLE, "op10_sharding": sharding.ORACLE}

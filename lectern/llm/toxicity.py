@@ -185,3 +185,17 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     rows = docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text")
     out = rows.mapInArrow(run, "id long, p_toxic double, expected_severity double, grade int, toxic boolean")
     return out.withColumnRenamed("id", id_col)
+
+
+def reject(docs: DataFrame, model: Model | None, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
+    """``docs`` with all columns, without rows found toxic. No shuffle."""
+    if model is None:
+        return docs
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Lookup(model.index)
+        for batch in batches:
+            yield batch.filter(pa.array([bool(model.above(look.of(t)[0])[0] < reject_at) for t in binary(batch, text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
