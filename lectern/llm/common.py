@@ -59,18 +59,59 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Edges that one task holds at once while it contracts them.
+LOCAL_EDGES = 250_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), v < u, with the same components: each task replaces runs of up to LOCAL_EDGES of its edges by stars around their least nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+        seen = 0
+
+        def find(x: int) -> int:
+            top = x
+            while (up := root.get(top, top)) != top:
+                top = up
+            while x != top:
+                root[x], x = top, root[x]
+            return top
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nodes = [x for x in root if find(x) != x]
+            for k in range(0, len(nodes), 65_536):
+                some = nodes[k:k + 65_536]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root[x] for x in some], pa.int64())], ["u", "v"])
+            root.clear()
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    root[max(a, b)] = root.setdefault(min(a, b), min(a, b))
+            seen += batch.num_rows
+            if seen >= LOCAL_EDGES:
+                yield from flush()
+                seen = 0
+        yield from flush()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list (a, b: long): rows (node, component = smallest node).
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014); every step is a
-    grouped minimum, so no component is ever gathered in one task. Rounds grow with the
-    logarithm of the longest chain. Each round is checkpointed. Nodes without an edge are not returned.
+    Tasks first contract the edges they hold, a bounded number at a time. What is left, if more than one task's worth,
+    goes through alternating large-star and small-star steps (Kiveris et al. 2014); each is a grouped minimum, so no
+    component is ever gathered in one task, and rounds grow with the logarithm of the longest chain.
+    Every round is checkpointed. Nodes without an edge are not returned.
     """
-    cur = edges.where("a is not null and b is not null and a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cur = cut(cur)
+    cur = cut(contracted(edges.where("a is not null and b is not null and a <> b").select("a", "b")))
+    parts = -(-cur.count() // LOCAL_EDGES)
+    cur = cut(contracted(cur.coalesce(max(1, parts))))
     sig = None
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if parts > 1 else 0):
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -84,7 +125,8 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
             break
         sig = got
     else:
-        raise RuntimeError("components did not settle")
+        if parts > 1:
+            raise RuntimeError("components did not settle")
     roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
