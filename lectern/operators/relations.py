@@ -121,7 +121,7 @@ def resolved(wanted: DataFrame, documents: DataFrame, marks: DataFrame, counts:
              .when(asked & F.col("clashing").isNotNull(), says("AMBIGUOUS_ANCHOR", "Document contains a duplicate anchor"))
              .when(asked & F.col("a_first").isNull(), says("INVALID_RELATION", "Relation anchor does not exist")))
     return full.select(*wanted.columns, "to_id", "to_anchor", "to_version", "to_historical", F.when(asked, F.col("a_first")).otherwise(1).alias("to_first"),
-                       F.when(asked, F.col("a_last")).otherwise(F.col("to_lines")).alias("to_last"), error.alias("error"))
+                       F.when(asked, F.col("a_last")).otherwise(F.col("to_lines")).alias("to_last"), "clashing", error.alias("error"))
 
 
 def edges(declared: DataFrame, documents: DataFrame, marks: DataFrame, counts: DataFrame) -> DataFrame:

@@ -18,6 +18,16 @@ from lectern.sources import files
 
 SAFE, QUERY_BYTES, PASSAGES, REFERENCES, FINDINGS, RETAINED = (1 << 53) - 1, 4_096, 32_768, 32_768, 2_048, 65_536
 
+#: Faults that lie in the document an edge points at, not in the one that declares it.
+AT_TARGET = ("Invalid anchor encoding", "Document contains a duplicate anchor", "Relation anchor does not exist")
+
+
+def _target_details(row: Any) -> dict:
+    clash = row["clashing"]
+    if clash is not None and row["error"]["code"] == "AMBIGUOUS_ANCHOR":
+        return {"anchor": clash["anchor"], "cause": "the same anchor ID names more than one target section", "firstLine": clash["clash"], "line": clash["line_start"]}
+    return {"document": row["to_id"], "line": 1, "version": row["to_version"]}
+
 
 class Project:
     def __init__(self, documents: DataFrame, warnings: list[dict], selection: str):
@@ -149,8 +159,11 @@ class Project:
     @staticmethod
     def _fault(row: Any) -> QueryError:
         f = row["fault"]
-        details = {"document": row["id"], "line": row["line"], "version": row["hash"]}
-        return QueryError(f["code"], f["message"], details | ({"cause": f["cause"]} if f["cause"] else {}))
+        if f["message"] in AT_TARGET:
+            details = {"document": row["id"], "line": row["line"], "target": row["target"], "targetDetails": _target_details(row)}
+        else:
+            details = {"document": row["id"], "line": row["line"], "version": row["hash"]} | ({"cause": f["cause"]} if f["cause"] else {})
+        return QueryError(f["code"], f["message"], details)
 
     def relations(self, document: str, direction: str = "both", limit: int | None = None, max_bytes: int | None = None, cursor: str | None = None) -> dict:
         if "#" in document:
@@ -221,8 +234,12 @@ class Project:
         if refs.count() > REFERENCES:
             raise QueryError("CHECK_LIMIT", f"At most {REFERENCES} local Markdown references can be validated; narrow source selection")
         code = F.when(F.col("error.code") == "INVALID_RELATION", "INVALID_REFERENCE").otherwise(F.col("error.code"))
-        lost = refs.where("error is not null").select("id", F.lit(2).alias("phase"), F.col("seq").alias("ord"), F.to_json(F.struct(
-            "line", F.col("raw").alias("target"), code.alias("code"), F.col("error.message").alias("message")), {"ignoreNullFields": "false"}).alias("j"))
+        there = F.col("error.message").isin(*AT_TARGET)
+        details = F.when(F.col("error.code") == "AMBIGUOUS_ANCHOR", F.to_json(F.struct(
+            F.col("clashing.anchor").alias("anchor"), F.lit("the same anchor ID names more than one target section").alias("cause"), F.col("clashing.clash").alias("firstLine"), F.col("clashing.line_start").alias("line")))).otherwise(
+            F.to_json(F.struct(F.when(there, F.col("to_id")).otherwise(F.col("id")).alias("document"), F.when(there, 1).otherwise(F.col("line")).alias("line"), F.when(there, F.col("to_version")).otherwise(F.col("hash")).alias("version"))))
+        lost = refs.where("error is not null").join(self.documents.select("id", "hash"), "id").select("id", F.lit(2).alias("phase"), F.col("seq").alias("ord"), F.to_json(F.struct(
+            "line", F.col("raw").alias("target"), code.alias("code"), F.col("error.message").alias("message"), F.parse_json(details).alias("details")), {"ignoreNullFields": "false"}).alias("j"))
         found = meta.unionByName(edge).unionByName(lost).join(self.documents.select("id", F.col("ord").alias("doc_ord"), "hash"), "id").persist()
         total = found.count()
         if total > FINDINGS:

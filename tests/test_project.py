@@ -94,3 +94,31 @@ def test_check(project):
     assert out["status"] == "failed" and (out["checkedDocuments"], out["checkedMetadataDocuments"], out["checkedReferenceDocuments"]) == (2, 2, 2)
     assert [(f["document"], f["code"], f["line"]) for f in out["findings"]] == [("docs/b.md", "INVALID_METADATA", 1), ("docs/b.md", "INVALID_REFERENCE", 9)]
     assert project.check(sources=["docs/a.md"])["totalFindings"] == 0
+
+
+def test_faults(spark):
+    from pyspark.sql import functions as F
+
+    def over(**texts):
+        rows = [(k.replace("_", "/") + ".md", v, False, k, None, []) for k, v in texts.items()]
+        df = spark.createDataFrame(rows, "id string, text string, historical boolean, title string, status string, links array<string>")
+        return Project(df.withColumn("hash", F.sha2("text", 256)), [], "{}")
+
+    block = "## Relationships\n"
+    for line, code, says in (
+            ("* Depends on [x](b.md): y", "INVALID_RELATION", "expected one unindented unordered bullet line"), ("- Needs [x](b.md): y", "INVALID_RELATION", "unknown or malformed relationship literal"),
+            ("- Extends x", "INVALID_RELATION", "expected a plain Markdown link after the literal"), ("- Extends [](b.md): y", "INVALID_RELATION", "link label must be non-empty plain text"),
+            ("- Extends [x](b.md) y", "INVALID_RELATION", "expected ': ' followed by a reason"), ("- Extends [x](b.md):  ", "INVALID_RELATION", "relationship reason must be non-empty"),
+            ("- Extends [x](b.md): see [y](c.md)", "INVALID_RELATION", "entry must be one unordered list item with exactly one plain inline link"),
+            ("- Extends [x](/b.md): y", "INVALID_RELATION", "target must be a relative Markdown source with an optional non-empty fragment")):
+        with pytest.raises(QueryError) as e:
+            over(a=block + line + "\n", b="x").relations("a.md", "outgoing")
+        assert (e.value.code, e.value.details["cause"], e.value.details["line"]) == (code, says, 2), line
+    p = over(a=block + "- Extends [x](b.md#no): y\n", b="# t\n")
+    with pytest.raises(QueryError) as e:
+        p.relations("b.md", "incoming")
+    assert e.value.message == "Relation anchor does not exist" and e.value.details["targetDetails"]["document"] == "b.md"
+    out = p.check()["findings"]
+    assert [f["code"] for f in out] == ["INVALID_RELATION", "INVALID_REFERENCE"] and out[1]["details"]["document"] == "b.md"
+    p = over(a="[l](b.md#here)", b="<a id=\"here\"></a>\n\n# Here\n")
+    assert [(f["code"], f["details"]["firstLine"]) for f in p.check()["findings"]] == [("AMBIGUOUS_ANCHOR", 1)]
