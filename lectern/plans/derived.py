@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text as X
 from lectern.operators import lines, metadata, relations, scan, structure
 from lectern.operators.identity import version
+from lectern.sources import files
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +89,36 @@ def check_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.count_if(~F.col("historical")).alias("reference_documents"))
 
 
+def describe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, status and resolved links as a listing shows them."""
+    return files.described(corpus(spark, sf_dir)).select("id", "title", "status", F.array_join("links", " ").alias("links"))
+
+
+def markdown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.scan(corpus(spark, sf_dir)).where("kind = 'link'").select("id", "line", F.col("value").alias("target"))
+
+
+def heading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.scan(corpus(spark, sf_dir)).where("kind = 'heading'").select("id", "seq", "level", "line", F.col("value").alias("text"))
+
+
+def date_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar dates, some of which don't exist, from order keys."""
+    day = F.format_string("%s-%02d-%02d", F.date_format("o_orderdate", "yyyy"), F.col("o_orderkey") % 14, F.col("o_orderkey") % 33)
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", day.alias("value"))
+    return rows.select("o_orderkey", "value", F.coalesce(X.real_date(F.col("value")), F.lit(False)).alias("real"))
+
+
+def tag_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of parts: words of the type in lower case with the brand, which has an upper-case letter for every other part."""
+    brand = F.when(F.col("p_partkey") % 2 == 0, F.lower("p_brand")).otherwise(F.col("p_brand"))
+    tags = F.array_append(F.split(F.lower("p_type"), " "), F.replace(brand, F.lit("#"), F.lit("-")))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.array_append(tags, F.element_at(tags, 1))).otherwise(tags).alias("tags"))
+    return rows.select("p_partkey", F.array_join("tags", " ").alias("tags"), X.kebab_tags(F.col("tags")).alias("fine"))
+
+
 QUERIES = {f.__name__: f for f in (headings_sections, anchors_slugs, passage_context, relations_outgoing, relations_incoming, relations_both, dangling_refs,
-                                   metadata_findings, check_counters)}
+                                   metadata_findings, check_counters, describe_documents, markdown_references, heading_rows, date_checks, tag_checks)}
 
 _N = """n AS (SELECT n_nationkey AS k, n_name AS name, n_regionkey AS rk, r_name AS rname, 'docs/nation-' || n_nationkey || '.md' AS id, CASE WHEN n_nationkey % 7 = 0 THEN 21 ELSE 20 END AS n_lines FROM nation JOIN region ON n_regionkey = r_regionkey),
 r AS (SELECT 'docs/region-' || r_regionkey || '.md' AS id, r_name AS name FROM region)"""
@@ -117,4 +147,17 @@ ORACLE = {
         UNION ALL SELECT id, 5, 'tags', 'Tags must be nonempty, distinct lowercase kebab-case text keywords' FROM n WHERE k % 4 = 0
         UNION ALL SELECT id, 1, NULL, 'Documentation under docs requires a closed outer YAML metadata header' FROM r""",
     "check_counters": "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS documents, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS metadata_documents, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS reference_documents",
+    "describe_documents": f"""WITH {_N} SELECT id, name AS title, CASE WHEN k % 5 = 0 THEN 'unknown' ELSE 'accepted' END AS status,
+        'docs/region-' || rk || '.md' || CASE WHEN k % 7 = 0 THEN ' docs/lost-' || k || '.md' ELSE '' END AS links FROM n UNION ALL SELECT id, name, NULL, '' FROM r""",
+    "markdown_references": f"""WITH {_N} SELECT id, 15 AS line, 'region-' || rk || '.md' AS target FROM n UNION ALL SELECT id, 19, 'region-' || rk || '.md#' || replace(lower(rname), ' ', '-') FROM n
+        UNION ALL SELECT id, 20, '#facts' FROM n UNION ALL SELECT id, 21, 'lost-' || k || '.md' FROM n WHERE k % 7 = 0""",
+    "heading_rows": f"""WITH {_N} SELECT id, x.seq::INTEGER AS seq, x.level::INTEGER AS level, x.line::INTEGER AS line, coalesce(nullif(x.t, ''), name) AS text
+        FROM n CROSS JOIN (VALUES (0, 1, 7, ''), (1, 2, 9, 'Facts'), (2, 3, 13, 'Size'), (3, 2, 17, 'Relationships')) x(seq, level, line, t)
+        UNION ALL SELECT id, x.seq::INTEGER, x.level::INTEGER, x.line::INTEGER, coalesce(nullif(x.t, ''), name) FROM r CROSS JOIN (VALUES (0, 1, 1, ''), (1, 2, 5, 'The Nations of It')) x(seq, level, line, t)""",
+    "date_checks": """WITH d AS (SELECT o_orderkey, strftime(o_orderdate, '%Y') || '-' || lpad((o_orderkey % 14)::VARCHAR, 2, '0') || '-' || lpad((o_orderkey % 33)::VARCHAR, 2, '0') AS value FROM orders)
+        SELECT o_orderkey, value, try_cast(value AS DATE) IS NOT NULL AS real FROM d""",
+    "tag_checks": """WITH t AS (SELECT p_partkey, list_append(string_split(lower(p_type), ' '), replace(CASE WHEN p_partkey % 2 = 0 THEN lower(p_brand) ELSE p_brand END, '#', '-')) AS tags FROM part),
+        u AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN list_append(tags, tags[1]) ELSE tags END AS tags FROM t),
+        w AS (SELECT p_partkey, tags, unnest(tags) AS x FROM u)
+        SELECT p_partkey, array_to_string(any_value(tags), ' ') AS tags, bool_and(x = lower(x) AND regexp_full_match(x, '[a-z0-9]+(-[a-z0-9]+)*')) AND count(DISTINCT x) = count(*) AS fine FROM w GROUP BY p_partkey""",
 }
