@@ -49,12 +49,17 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float]
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None,
         temperature: float = 0.5, budget: float | None = None, seed: int = 0) -> DataFrame:
     """All columns of ``docs`` for each copy of a row, with copy_no (from 1) and shuffle_key; any columns of these names are replaced."""
-    table = rates(docs, source_col, weights, temperature, budget).select("mix_source", "mix_cdf")
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):  # names of its own beside those of the rows
+        mark += "_"
+    named = [F.col(c).alias(f"{mark}{c}") for c in ("mix_source", "mix_cdf")]
+    table = rates(docs, source_col, weights, temperature, budget).select(*named)
     key = f"coalesce(cast(`{id_col}` as string), '')"
     keep = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
-    joined = docs.select(*keep).join(table, docs[source_col].eqNullSafe(table["mix_source"]))
-    counted = joined.withColumn("mix_n", F.expr(f"size(filter(mix_cdf, c -> c <= {uniform(repr(f'mix{seed}'), key)}))")).where("mix_n > 0")
-    copies = counted.select(*keep, F.explode(F.expr("sequence(1, mix_n)")).alias("copy_no"))
+    joined = docs.select(*keep).join(table, F.col(source_col).eqNullSafe(F.col(f"{mark}mix_source")))
+    drawn = F.expr(f"size(filter({mark}mix_cdf, c -> c <= {uniform(repr(f'mix{seed}'), key)}))")
+    counted = joined.withColumn(f"{mark}n", drawn).where(F.col(f"{mark}n") > 0)
+    copies = counted.select(*keep, F.explode(F.sequence(F.lit(1), F.col(f"{mark}n"))).alias("copy_no"))
     order = f"conv(substr(md5(concat_ws(':', {f'order{seed}'!r}, {key}, cast(copy_no as string))), 1, 15), 16, 10)"
     return copies.withColumn("shuffle_key", F.expr(f"cast({order} as bigint)")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

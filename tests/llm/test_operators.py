@@ -96,7 +96,7 @@ def test_held_out_accuracy_and_rejection(spark):
 
 def test_mixing(spark):
     rows = [(i, "t", "big" if i % 3 else "small" if i % 9 else None, 9) for i in range(6000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy_no int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy_no int").withColumns({"mix_cdf": F.lit(1), "_n": F.lit("x")})
     got = mixing.mix(docs, weights={"big": 1.0, "small": 3.0}).collect()
     n = {s: sum(r["source"] == s for r in got) for s in ("big", "small", None)}
     assert n[None] == 0 and abs(n["big"] - 1500) < 200 and abs(n["small"] - 4500) < 300
