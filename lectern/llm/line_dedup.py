@@ -319,9 +319,13 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_lines(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """``docs`` with the lines gone that aren't the first of their class; all columns stay, and rows whose text loses nothing stay as they are.
     A column ``size_col``, if there is one, gets the new length of texts that lose lines."""
-    gone = classes.where("n_removed > 0").select(F.col(id_col).alias("_gone_id"), F.expr(
-        f"transform(filter(arrays_zip(lines, classes), x -> x.classes <> (shiftleft({id_col}, {POS_BITS}) | x.lines)), x -> x.lines)").alias("_gone"))
-    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\\n')")
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):  # names of its own beside those of the rows
+        mark += "_"
+    key, numbers = f"{mark}id", f"{mark}gone"
+    gone = classes.where("n_removed > 0").select(F.col(id_col).alias(key), F.expr(
+        f"transform(filter(arrays_zip(lines, classes), x -> x.classes <> (shiftleft({id_col}, {POS_BITS}) | x.lines)), x -> x.lines)").alias(numbers))
+    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> not array_contains({numbers}, i)), '\\n')")
     new = {text_col: kept, size_col: F.length(kept)}
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left").select(*[
-        F.when(F.col("_gone").isNull(), F.col(c)).otherwise(new[c].cast(docs.schema[c].dataType)).alias(c) if c in new else F.col(c) for c in docs.columns])
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(key), "left").select(*[
+        F.when(F.col(numbers).isNull(), F.col(c)).otherwise(new[c].cast(docs.schema[c].dataType)).alias(c) if c in new else F.col(c) for c in docs.columns])
