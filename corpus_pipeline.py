@@ -22,9 +22,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike in 0.8 of their five-word shingles, directly or not, the one of the smallest id stays."""
-    kept = minhash.near_duplicates(docs, 5, 80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of documents alike in 0.8 of their five-word shingles, directly or not, the one of the smallest id stays; so do rows without an id."""
+    gone = minhash.near_duplicates(docs, 5, 80).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
