@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import raw_lines, trimmed, without_ending
+from lectern.functions.text import SPACE, raw_lines, without_ending
 
 WINDOW_LINES = 32
 
@@ -44,4 +44,4 @@ def passages(documents: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
     return cut.select("id", "first_line", F.least(F.col("first_line") + (size - 1), F.size("l")).alias("last_line"),
                       F.octet_length(before).cast("long").alias("first_byte"), content.alias("content")).select(
         "id", "first_line", "last_line", "first_byte", (F.col("first_byte") + F.octet_length("content")).alias("last_byte"), "content").where(
-        trimmed(F.col("content")) != "")
+        F.col("content").rlike(rf"[^{SPACE}]"))

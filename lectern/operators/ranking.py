@@ -40,8 +40,10 @@ def hits(passages: DataFrame, query: str) -> DataFrame:
     wanted = [fold(t) for t in query_terms(query)]
     if not wanted:
         return passages.withColumn("score", F.lit(0.0)).limit(0)
-    counted = passages.withColumn("_t", tokens(F.col("content"))).withColumn("_len", F.size("_t")).withColumn(
-        "_tf", F.array(*[_occurrences(w) for w in wanted])).drop("_t")
+    # through a generator, which no filter is pushed below: else each use of the counts would cut the text into tokens again
+    own = passages.withColumn("_t", tokens(F.col("content"))).select(*passages.columns, F.explode(F.array(F.struct(
+        F.size("_t").alias("_len"), F.array(*[_occurrences(w) for w in wanted]).alias("_tf")))).alias("_c"))
+    counted = own.select(*passages.columns, "_c._len", "_c._tf")
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[
         F.sum((F.col("_tf")[k] > 0).cast("long")).alias(f"_df{k}") for k in range(len(wanted))])
     scored = counted.where(F.exists("_tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # of one row
