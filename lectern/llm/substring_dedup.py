@@ -103,7 +103,7 @@ def excerpts(docs: DataFrame, maps) -> DataFrame:
                     merged[-1][2] = max(b, merged[-1][2])
                 else:
                     merged.append([i, a, b])
-            rows = [(v[2], v[0], v[1], k[1], k[0], None) for k, v in held.items()] + [(None, i, a, None, None, b) for i, a, b in merged]
+            rows = [(v[2], v[0], v[1], k[1], k[0], None) for k, v in held.items()] + [(i, i, a, None, None, b) for i, a, b in merged]
             for k in range(0, len(rows), 8192):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 8192], strict=True), kinds, strict=True)], names)
             held.clear()
@@ -199,6 +199,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows: list[tuple[int, int, int, str]] = []
         last = None
         for batch in batches:
+            if (known := batch.filter(batch.column(4).is_null())).num_rows:  # repeats already: passed on
+                yield pa.RecordBatch.from_arrays([known.column(1), known.column(2), known.column(5)], names)
+            batch = batch.filter(batch.column(4).is_valid())
             columns = [batch.column(k).to_pylist() for k in range(5)]
             for route, i, start, p, words in zip(*columns, strict=True):
                 if route != last and len(rows) >= CHUNK:
@@ -209,10 +212,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         yield from result(rows)
 
     # rows of one route stay together; a route without any company is confirmed to be none
-    located = found.where("words is not null").select("route", "id", "start", "phrase", "words").repartition("route").sortWithinPartitions("route").mapInArrow(
-        search, "id long, start int, stop int")
-    known = found.where("words is null").select(*names)
-    return located.union(known).groupBy("id").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("stop").alias("b"))).alias("spans"))
+    located = found.repartition("route").sortWithinPartitions("route").mapInArrow(search, "id long, start int, stop int")
+    return located.groupBy("id").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("stop").alias("b"))).alias("spans"))
 
 
 def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
