@@ -4,7 +4,7 @@ A source of n rows with target weight w gets the mean repetition rate N * w / n,
 Each row's count is the inverse of the Poisson distribution with that mean at a uniform number taken
 from a hash of (seed, id): the same on every run and on every executor that repeats a lost task. Rows
 are exploded by their count and dealt out to partitions by a hash of (seed, id, copy), sorted by it inside: a
-global shuffle with one exchange.
+global shuffle with one exchange. Rates are broadcast where their size allows; else they are joined with the rows by source.
 
 Rules: without given weights a source's weight is n ** temperature; given weights are normalized
 over the sources present, a source without one gets none of the rows; a null source is a source; repeated rows
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import cut
 
+#: Numbers in all sources' distribution functions up to which these go to every executor (8 MB); beyond, rows are joined by source.
+BROADCAST_NUMBERS = 1_000_000
+
 
 def uniform(*parts: str) -> str:
     """SQL for a number in [0, 1) of 52 bits from the hash of parts, which are SQL strings."""
@@ -54,6 +57,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
         mark += "_"
     named = [F.col(c).alias(f"{mark}{c}") for c in ("mix_source", "mix_cdf")]
     table = rates(docs, source_col, weights, temperature, budget).select(*named)
+    if (table.agg(F.sum(F.size(f"{mark}mix_cdf"))).first()[0] or 0) <= BROADCAST_NUMBERS:
+        table = F.broadcast(table)
     key = f"coalesce(cast(`{id_col}` as string), '')"
     keep = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
     joined = docs.select(*keep).join(table, F.col(source_col).eqNullSafe(F.col(f"{mark}mix_source")))
