@@ -26,6 +26,10 @@ def fixture(spark, root):
         elif i % 3 == 0:
             t += "\n" + shared + ("x" if i % 2 else "")
         rows.append((i, t, "en", "big" if i % 3 else "small", len(t)))
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    for i in range(3):  # unlike lines, like shingles
+        copy = [*base[:30 * i], "somethingelse", *base[30 * i + 1:]]
+        rows.append((600 + i, " ".join(copy), "en", "big", len(" ".join(copy))))
     rows += [(500, None, None, None, None), (501, "", "en", "small", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{root}/documents.parquet")
