@@ -1,13 +1,14 @@
 """Severity of toxic language by cumulative-link (proportional odds) ordinal regression.
 
 Features are sparse: the distinct lower-cased words of a text, stripped of punctuation at both ends, and their
-prefixes of 3 to 6 characters, of which screening keeps those that go with toxicity beyond chance (G2 statistic). The
+prefixes of 3 to 6 characters, of which screening keeps those that go with toxicity beyond chance: by Fisher's exact test, at a
+threshold where at most FALSE_SHARE of the features kept can be due to chance, whatever the number of labelled rows. The
 model is P(grade > k) = sigmoid(w.x - t_k), x being the features present, scaled to unit length: one weight vector for all thresholds t_1 < t_2 < ...
 Labels only say toxic or not, so grades 1 to 3 of toxic rows are the thirds of their number of
 distinct words with a screened feature; grade 0 is not toxic.
 
 Fitting uses a bounded sample, ``sample`` labelled documents in the order of a hash of their id; at most ``max_features``
-features are kept. Screening counts, scores and verdicts are made on the executors; the driver holds the sample's few
+features, the best by G2, are tested and kept. Screening counts, scores and verdicts are made on the executors; the driver holds the sample's few
 screened features a document. Every document is scored over its whole text.
 
 Rules: null or empty text has no features and is not rejected; a document labelled more than once has its
@@ -16,6 +17,7 @@ highest label; without toxic labels, nothing is rejected; repeated rows are scor
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import binary, small_batches, words_of
 
-SAMPLE, MAX_FEATURES, MIN_G2 = 20_000, 4_096, 40.0
+SAMPLE, MAX_FEATURES, FALSE_SHARE = 20_000, 4_096, 0.05
 GRADES = 3
 EDGE = b".,!?;:'\"()[]{}*$%&#|<>-_=+/\\"
 
@@ -37,6 +39,38 @@ def features_of(word: bytes) -> tuple[str, ...]:
     return (w, *[w[:k] + "-" for k in range(3, 7) if len(w) >= k]) if w else ()
 
 
+def chance(t: int, df: int, toxic: int, clean: int) -> float:
+    """P(at least t of df rows are toxic) if the df rows are drawn at random from toxic + clean ones; t above the mean."""
+    ways = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    if df - t > clean:
+        t = df - clean
+    term = math.exp(ways(toxic, t) + ways(clean, df - t) - ways(toxic + clean, df))
+    total, most = 0.0, min(df, toxic)
+    while t <= most and term > total * 1e-17:
+        total += term
+        term *= (toxic - t) * (df - t) / ((t + 1) * (clean - df + t + 1))
+        t += 1
+    return min(1.0, total)
+
+
+def telling(tested: list[tuple[str, int, int]], spread: dict[int, int], toxic: int, clean: int, share: float = FALSE_SHARE) -> list[str]:
+    """Of features (name, clean rows, toxic rows) those under the widest threshold p at which chance gives at most ``share`` of what is kept.
+
+    ``spread`` has how many features stand in so many rows. Chance puts at most p of the features that can reach p at all under it: one of
+    too few rows can't.
+    """
+    ranked = sorted((chance(t, c + t, toxic, clean), f) for f, c, t in tested)
+    reach = sorted((chance(min(df, toxic), df, toxic, clean), n) for df, n in spread.items())
+    keep = i = able = 0
+    for k, (p, _) in enumerate(ranked, 1):
+        while i < len(reach) and reach[i][0] <= p * (1 + 1e-9):
+            able += reach[i][1]
+            i += 1
+        if p * able <= share * k:
+            keep = k
+    return [f for _, f in ranked[:keep]]
+
+
 class Lookup(dict):
     """word -> indexes of its kept features; remembers a bounded number of words."""
 
@@ -132,10 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             some = names[k:k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([both[0][n] for n in some], pa.int64()), pa.array([both[1][n] for n in some], pa.int64())], ["f", "c", "t"])
 
-    counted = texts.mapInArrow(tally, "f string, c long, t long").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    top = counted.where("f = '' or t >= 3").persist()
+    counted = texts.mapInArrow(tally, "f string, c long, t long").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).persist()  # of the sample
     try:
-        sizes = top.where("f = ''").first()
+        sizes = counted.where("f = ''").first()
         if not sizes or not sizes["c"] or not sizes["t"]:
             return None
         c, t = sizes["c"], sizes["t"]
@@ -143,13 +176,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         n, df = c + t, "(c + t)"
         g2 = 2 * (term("t", f"{t} * {df} / {n}") + term("c", f"{c} * {df} / {n}")
                   + term(f"({t} - t)", f"{t} * ({n} - {df}) / {n}") + term(f"({c} - c)", f"{c} * ({n} - {df}) / {n}"))
-        kept = (top.where("f <> ''").where(F.expr(f"t / {t} > c / {c}")).select("f", g2.alias("g2")).where(F.col("g2") >= MIN_G2)
-                .orderBy(F.desc("g2"), "f").limit(max_features).collect())
+        words = counted.where("f <> ''")
+        spread = {r[0]: r[1] for r in words.groupBy(F.expr(df)).count().collect()}  # at most `sample` rows
+        tested = words.where(F.expr(f"t / {t} > c / {c}")).orderBy(g2.desc(), "f").limit(max_features).select("f", "c", "t").collect()
     finally:
-        top.unpersist()
+        counted.unpersist()
+    kept = telling([tuple(r) for r in tested], spread, t, c)
     if not kept:
         return None
-    index = {r["f"]: i for i, r in enumerate(sorted(kept, key=lambda r: r["f"]))}
+    index = {f: i for i, f in enumerate(sorted(kept))}
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(index)
