@@ -1,15 +1,19 @@
 """Quality rules whose cutoffs are certified on labelled holdouts.
 
-measure() counts, in one narrow pass over whole texts, what the rules need. certify() then picks, for
-each stratum and rule, a cutoff: on labelled rows of good quality that pass the base rule, the share rejected
-must be at most ``alpha / rules`` with confidence ``1 - delta / (strata * rules)``, by the exact
-(Clopper-Pearson) binomial bound. Within a stratum and rule cutoffs are tested from the laxest on and testing
-stops at the first that fails, so the whole sequence costs one test; over strata and rules the
-correction is Bonferroni's. With probability 1 - delta no stratum loses more than alpha of its good rows.
+measure() counts, in one narrow pass over whole texts, what the rules need. certify() then picks cutoffs on labelled rows of
+good quality that pass the base rule, by the exact (Clopper-Pearson) binomial bound. Strata with too few of these for any cutoff are pooled,
+with the next larger one if need be; each pool gets the better of two certificates:
+- one cutoff for all rules, whose scores have one unit: the share that any rule rejects is at most ``alpha`` with confidence
+  ``1 - UNION * delta / pools``;
+- a cutoff for each rule: it rejects at most ``alpha / rules`` with confidence ``1 - (1 - UNION) * delta / (pools * rules)``. This serves where
+  a rule on which good rows score high holds up the others.
+In each sequence cutoffs are tested from the laxest on and testing stops at the first that fails, so the whole sequence costs one test; over
+sequences the correction is Bonferroni's. With probability 1 - delta no pool loses more than alpha of its good rows.
 
 Rules: a null or empty text has no words and fails the base rule; a null stratum is a stratum of its own; a row
 labelled several times counts once, as good only if every label says so; labels other than 0 and 1 are
-ignored; a stratum with too few labels certifies nothing, and then only the base rule rejects.
+ignored; where even one pool of all strata has too few labels nothing is certified, and then, as in strata without any label,
+only the base rule rejects.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ RULES = {
 }
 STEP, BINS = 10, 200  # cutoffs are multiples of 10 thousandths; the last bin holds all scores beyond
 WINDOW = 8
+UNION = 0.9  # share of delta for the rules' common cutoff
 
 
 def repeated_words(words: list[bytes], hashes: WordHash | None = None) -> int:
@@ -148,29 +153,46 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, limit: float, level: float,
     return next(c for c in certified if caught[c] >= share * most)
 
 
+def pools(good: dict[str, int], alpha: float, delta: float) -> dict[str, int]:
+    """Stratum -> number of its pool: as many pools as have good rows enough for a cutoff that loses none. Goes by sizes only, never by scores."""
+    by_size = sorted(good, key=lambda s: (good[s], s))
+    for most in range(len(by_size), 0, -1):
+        need = math.log(delta / most) / math.log1p(-alpha)
+        k = sum(n < need for n in good.values())
+        while k < len(by_size) and 0 < k and sum(good[s] for s in by_size[:k]) < need:
+            k += 1
+        if not k or sum(good[s] for s in by_size[:k]) >= need:
+            return {s: max(0, i - max(k - 1, 0)) for i, s in enumerate(by_size)}
+    return dict.fromkeys(by_size, 0)
+
+
 def certify(measured: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05,
             id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """One row per stratum: a cutoff bin for each rule (null: none certified). All labelled rows count."""
     labelled = (labels.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{label_col}` as int) y").where("y in (0, 1) and id is not null")
                 .groupBy("id").agg(F.min("y").alias("y")))
     rows = measured.where("not base_failed").join(labelled, "id")
-    stacked = rows.selectExpr("stratum", "y", f"stack({len(RULES)}, " + ", ".join(
-        f"'{k}', least(({e}) div {STEP}, {BINS})" for k, e in RULES.items()) + ") as (rule, bin)")
+    scored = rows.selectExpr("stratum", "y", *[f"least(({e}) div {STEP}, {BINS}) {k}" for k, e in RULES.items()])
+    stacked = scored.selectExpr("stratum", "y", f"stack({len(RULES) + 1}, '', greatest({', '.join(RULES)}), " + ", ".join(f"'{k}', {k}" for k in RULES) + ") as (rule, bin)")
     bins = cut(stacked.groupBy("stratum", "rule", "bin").agg(
         F.sum("y").alias("good"), F.sum(F.lit(1) - F.col("y")).alias("bad")))
-    strata = bins.agg(F.countDistinct("stratum")).first()[0]
-    limit, level, rules = alpha / len(RULES), delta / (max(1, strata) * len(RULES)), list(RULES)
+    found = pools({r[0]: r[1] for r in bins.where("rule = ''").groupBy("stratum").agg(F.sum("good")).collect()}, alpha, UNION * delta)  # a row a stratum
+    pool = F.broadcast(measured.sparkSession.createDataFrame([*found.items()], "stratum string, pool int"))
+    n, rules = max(found.values(), default=0) + 1, list(RULES)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {"stratum": pdf["stratum"].iloc[0]}
-        for rule in rules:
+        cuts, caught = {}, {}
+        for rule in ["", *rules]:
             mine = pdf[pdf["rule"] == rule]
-            good, bad = np.zeros(BINS + 1, np.int64), np.zeros(BINS + 1, np.int64)
-            good[mine["bin"]], bad[mine["bin"]] = mine["good"], mine["bad"]
-            out["cut_" + rule] = choose_cutoff(good, bad, limit, level)
-        return pd.DataFrame([out]).astype({"cut_" + r: "Int64" for r in rules})
-
-    return bins.groupBy("stratum").applyInPandas(pick, "stratum string, " + ", ".join(f"cut_{r} long" for r in rules))
+            good, bad = (np.bincount(mine["bin"], mine[y], BINS + 1).astype(np.int64) for y in ("good", "bad"))
+            c = choose_cutoff(good, bad, *((alpha / len(rules), (1 - UNION) * delta / (n * len(rules))) if rule else (alpha, UNION * delta / n)))
+            cuts[rule], caught[rule] = c, 0 if c is None else int(bad[c + 1:].sum())
+        if caught[""] >= max(caught[r] for r in rules):
+            cuts = dict.fromkeys(cuts, cuts[""])
+        return pd.DataFrame([{"pool": pdf["pool"].iloc[0]} | {"cut_" + r: cuts[r] for r in rules}]).astype({"cut_" + r: "Int64" for r in rules})
+
+    each = bins.join(pool, "stratum").groupBy("pool").applyInPandas(pick, "pool int, " + ", ".join(f"cut_{r} long" for r in rules))
+    return each.join(pool, "pool").drop("pool")
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, id_col: str = "doc_id",

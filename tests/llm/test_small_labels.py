@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from lectern.llm import toxicity
+from lectern.llm import quality_rules, toxicity
 
 
 def test_chance_as_counted():
@@ -37,3 +37,25 @@ def test_toxicity_of_eleven_toxic_rows(spark):
     model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     assert model is not None
     assert {r["doc_id"] for r in toxicity.score(docs, model).where("toxic").collect()} == {*range(11), 100}
+
+
+def test_pools_of_small_strata():
+    assert quality_rules.pools({"en": 2013, "fr": 490, "de": 488, "es": 311}, 0.01, 0.045) == {"es": 0, "de": 0, "fr": 1, "en": 2}
+    assert quality_rules.pools({"en": 900, "fr": 600}, 0.01, 0.045) == {"fr": 0, "en": 1}
+    assert quality_rules.pools({"en": 200, "fr": 100, "": 20}, 0.01, 0.045) == dict.fromkeys(["en", "fr", ""], 0)
+    assert quality_rules.pools({"en": 20}, 0.01, 0.045) == {"en": 0} and quality_rules.pools({}, 0.01, 0.045) == {}
+
+
+@pytest.mark.parametrize("shout", [False, True])
+def test_quality_of_small_strata(spark, shout):
+    """Junk is found where no rule alone has labels enough, and where good rows score high on another rule."""
+    sizes = {"en": 6000} if shout else {"en": 500, "fr": 60, "de": 400}
+    clean, junk = [], []
+    for lang, n in sizes.items():
+        clean += [(len(clean) + i, " ".join(f"w{i}x{j}".upper() if shout else f"w{i}x{j}" for j in range(30)), lang) for i in range(n)]
+        junk += [(100_000 + len(junk) + i, " ".join(f"w{i}x{j}**" for j in range(30)), lang) for i in range(30)]
+    new = [(200_000 + i, junk[0][1], lang) for i, lang in enumerate(sizes)] + [(300_000, junk[0][1], "unlabelled")]
+    docs = spark.createDataFrame(clean + junk + new, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1) for r in clean] + [(r[0], 0) for r in junk], "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs, labels).collect()}
+    assert all(got[r[0]] for r in clean) and not any(got[r[0]] for r in junk + new[:-1]) and got[300_000]
