@@ -17,8 +17,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within two edits of an earlier line's class go; documents stay."""
-    return line_dedup.drop_lines(docs, line_dedup.line_classes(docs))
+    """Lines within two edits of an earlier line's class go, short ones if equal to an earlier one; documents stay."""
+    return line_dedup.drop_lines(docs, line_dedup.line_classes(docs, least=1))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

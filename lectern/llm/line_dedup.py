@@ -12,9 +12,9 @@ into EDITS + 1 segments has one that the other line holds unchanged, near the sa
    The task returns the number of links of each line, and of the links only those that connect something new.
 4. Components of the links are classes. The first line of a class (smallest document id, then line number) stays, others go.
 
-Rules: lines end at \\n and are compared without white space at both ends; lines of fewer than MIN_CHARS characters are too short to count as
-copies, take no part and stay, as do blank lines; equal lines are always of one class; null and empty texts have no lines; ids lie within
-2^39 of zero; repeated ids are one document for the join (its lines count once by number).
+Rules: lines end at \\n and are compared without white space at both ends; lines of fewer than MIN_CHARS characters, of which two edits would make
+unlike ones alike, are linked with nothing and take part, from ``least`` characters on, by equality alone; blank lines stay; equal lines that take
+part are always of one class; null and empty texts have no lines; ids lie within 2^39 of zero; repeated ids are one document for the join (its lines count once by number).
 """
 
 from __future__ import annotations
@@ -38,13 +38,13 @@ _ONES = (1 << 64) - 1
 _WHITE = " \t\n\r\x0b\x0c"
 
 
-def long_lines(text: str | None) -> tuple[int, list[tuple[int, str]]]:
-    """Number of lines that aren't blank, and (number from 0, line without outer white space) of those that take part."""
+def long_lines(text: str | None, least: int = MIN_CHARS) -> tuple[int, list[tuple[int, str]]]:
+    """Number of lines that aren't blank, and (number from 0, line without outer white space) of those of ``least`` characters or more."""
     out, n = [], 0
     for i, line in enumerate(text.split("\n") if text else ()):
         line = line.strip(_WHITE)
         n += bool(line)
-        if len(line) >= MIN_CHARS:
+        if line and len(line) >= least:
             out.append((i, line))
     return n, out
 
@@ -159,7 +159,7 @@ def within(a: str, b: str, most: int = EDITS) -> bool:
     return dist <= most
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def lines_of(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_CHARS) -> DataFrame:
     """(id, n_lines, at: line numbers, k1, k2: halves of the lines' 128-bit hashes) per row."""
     small_batches(docs.sparkSession)
 
@@ -167,7 +167,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             n, at, k1, k2 = [], [], [], []
             for text in texts(batch, "text"):
-                count, own = long_lines(text)
+                count, own = long_lines(text, least)
                 hs = [xxh3_128_intdigest(line.encode("utf-8", "replace")) for _, line in own]
                 n.append(count)
                 at.append([i for i, _ in own])
@@ -292,10 +292,10 @@ def links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataF
     return dealt.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(run, "a long, b long, n long")
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS) -> DataFrame:
     """Per document id: n_lines (not blank), and of its lines that take part: lines (numbers from 0), classes (place of the class's first line:
-    document id * 2^24 + number), links (to how many other texts), n_links, n_removed."""
-    base = cut(lines_of(docs, id_col, text_col).dropDuplicates(["id"]))
+    document id * 2^24 + number), links (to how many other texts), n_links, n_removed. With ``least`` = 1 all lines that aren't blank take part."""
+    base = cut(lines_of(docs, id_col, text_col, least).dropDuplicates(["id"]))
     each = base.select("id", F.explode(F.arrays_zip("at", "k1", "k2")).alias("x")).select(
         F.shiftleft("id", POS_BITS).bitwiseOR(F.col("x.at")).alias("lid"), F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2"))
     reps = cut(each.groupBy("k1", "k2").agg(F.min("lid").alias("lid")))

@@ -35,7 +35,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document with the classes they fall in."""
-    return line_dedup.line_classes(read_table(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(read_table(spark, sf_dir, "documents"), least=1)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

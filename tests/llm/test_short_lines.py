@@ -1,0 +1,45 @@
+"""Lines under MIN_CHARS characters fall in classes by equality; the brute force cuts its lines by itself."""
+
+import random
+
+import corpus_pipeline
+from lectern.llm import line_dedup as L
+from lectern.llm import queries
+from tests.llm.test_line_dedup import distance, edited
+
+
+def brute(rows):
+    lines = [(i << L.POS_BITS | n, x.strip(" \t\n\r\x0b\x0c")) for i, t in rows for n, x in enumerate((t or "").split("\n"))]
+    lines = [(k, x) for k, x in lines if x]
+    alike = lambda x, y: x == y or min(len(x), len(y)) >= L.MIN_CHARS and distance(x, y) <= L.EDITS
+    root = {k: k for k, _ in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in lines:
+        for b, y in lines:
+            if b > a and alike(x, y):
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    return {k: (find(k), len({y for _, y in lines if y != x and alike(x, y)})) for k, x in lines}
+
+
+def test_short_lines_as_all_pairs(spark, tmp_path):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcde é") for _ in range(n)).strip() for n in (1, 2, 5, 10, 22, 23, 24, 26, 40)]
+    rows = [(i, "\n".join(rng.choice(["", " ", "\t"]) + edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2])) for _ in range(rng.randrange(1, 6)))) for i in range(25)]
+    rows += [(100, None), (101, ""), (102, "\n \n"), (103, "All rights reserved.\nLes.\n Les.\n\nAll rights reserved!"), (104, "Les.\nlast")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = brute(rows)
+    got = {r["doc_id"]: r for r in queries.op5_line_dedup(spark, f"file://{tmp_path}").collect()}
+    assert set(got) == {i for i, _ in rows}
+    assert {i << L.POS_BITS | n: (c, k) for i, r in got.items() for n, c, k in zip(r["lines"], r["classes"], r["links"], strict=True)} == want
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    for i, t in rows:
+        gone = {k & (1 << L.POS_BITS) - 1 for k, (c, _) in want.items() if k >> L.POS_BITS == i and c != k}
+        assert texts[i] == (t if not gone else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone))
+    assert texts[103] == "All rights reserved.\nLes.\n\nAll rights reserved!" and texts[104] == "last"
