@@ -5,14 +5,15 @@ any vector, a vector x is given one more coordinate sqrt(M2 - |x|^2) and a query
 the smallest Euclidean distances: |q - x|^2 = |q|^2 + M2 - 2 q.x.
 
 1. A bounded sample gives pivots; every vector and query goes to the cell of its nearest pivot (one narrow pass).
-2. Cell summaries (size, radius, the k least distances to the pivot) are aggregated; they are pivots * (k + 2) numbers. For the queries of a
+2. Cell summaries (size, radius, the k + 1 least distances to the pivot among distinct ids) are aggregated; they are pivots * 2 (k + 2) numbers. For the queries of a
    cell they give a radius theta within which k neighbours of each query are sure to be.
 3. A vector goes only to those query cells whose lower bound |p_i p_j| - r_i - |s p_j| is within theta (and, by the
    hyperplane between two pivots, no nearer bound excludes it). Cells are split into blocks by a hash of the vector's id, so no task gets an unbounded group.
 4. Each (query cell, block) is solved by integer matrix products; k best of each block meet in one last grouping.
 
 Rules: vectors that are null, empty, or hold null or non-finite components take no part; vectors of another length than the most common one
-take none either; ties go to the smaller id; repeated ids are each a candidate but never of their own id; fewer than k candidates give fewer rows.
+take none either; ties go to the smaller id; repeated ids are each a candidate but never of their own id; a query id that
+stands repeatedly is asked once, with the least of its vectors; fewer than k candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     if width is None:
         return spark.createDataFrame([], schema)
     dim = width["n"]
-    vecs, asks = all_data.where(F.size("v") == dim), all_queries.where(F.size("v") == dim)
+    vecs, asks = all_data.where(F.size("v") == dim), all_queries.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     m2, total = vecs.agg(F.max(F.expr("aggregate(v, 0L, (a, x) -> a + x * x)")), F.count(F.lit(1))).first()
     m2 = float(m2)
     chosen = vecs.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").collect()  # at most `sample` rows
@@ -97,14 +98,17 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     # written once: both are read by the summaries and by the join
     here, there = cut(vecs.mapInArrow(placed(False), ddl)), cut(asks.mapInArrow(placed(True), ddl))
     near = _nearest(here, k + 1)
-    cells = {r["cell"]: r for r in near.collect()}  # at most `pivots` rows of k + 3 numbers
+    cells = {r["cell"]: r for r in near.collect()}  # at most `pivots` rows of 2 k + 5 numbers
     reach = {r["cell"]: r["r"] for r in there.groupBy("cell").agg(F.max("d").alias("r")).collect()}
     between = distances(centres, centres)
     slack = 1e-6 * (1 + np.sqrt(m2))
     sends: list[tuple[int, int, float]] = []  # (data cell, query cell, least distance to the own pivot that matters)
     for i, r in reach.items():
-        upper = sorted(r + between[i, j] + d for j, c in cells.items() for d in c["near"])
-        theta = upper[k] if len(upper) > k else np.inf  # k besides a query's own vector
+        upper: dict[int, float] = {}
+        for j, c in cells.items():
+            for d, who in c["near"]:
+                upper[who] = min(upper.get(who, np.inf), r + between[i, j] + d)
+        theta = sorted(upper.values())[k] if len(upper) > k else np.inf  # k ids besides a query's own
         for j in cells:
             sends.append((j, i, float(max(0.0, between[i, j] - r - theta - slack))))
     plan: dict[int, list[tuple[int, float]]] = {}
@@ -169,22 +173,28 @@ def _best(row: np.ndarray, k: int) -> np.ndarray:
 
 
 def _nearest(placed: DataFrame, k: int) -> DataFrame:
-    """Per cell: rows, radius, the k least distances; a partition passes on one row a cell."""
+    """Per cell: rows, radius, the k least (distance, id) of distinct ids; a partition passes on one row a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[int, tuple[int, float, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            cell, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cell, d, ids = (c.to_numpy() for c in batch.columns)
             for c in np.unique(cell).tolist():
-                mine = d[cell == c]
-                n, r, near = held.get(c, (0, 0.0, mine[:0]))
-                held[c] = (n + len(mine), max(r, mine.max()), np.sort(np.concatenate([near, mine]))[:k])
+                mine = cell == c
+                n, r, near, who = held.get(c, (0, 0.0, d[:0], ids[:0]))
+                near, who = np.concatenate([near, d[mine]]), np.concatenate([who, ids[mine]])
+                order = np.lexsort((who, near))
+                first = np.sort(np.unique(who[order], return_index=True)[1])[:k]  # the nearest of each id
+                held[c] = n + int(mine.sum()), max(r, d[mine].max()), near[order][first], who[order][first]
         cs = list(held)
+        kind = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
         yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int32()), pa.array([held[c][0] for c in cs], pa.int64()), pa.array([held[c][1] for c in cs], pa.float64()),
-                                          pa.array([held[c][2] for c in cs], pa.list_(pa.float64()))], ["cell", "n", "r", "near"])
+                                          pa.array([[{"d": x, "id": i} for x, i in zip(*map(np.ndarray.tolist, held[c][2:]), strict=True)] for c in cs], kind)], ["cell", "n", "r", "near"])
 
-    parts = placed.select("cell", "d").mapInArrow(run, "cell int, n long, r double, near array<double>")
-    return parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("r").alias("r"), F.expr(f"slice(array_sort(flatten(collect_list(near))), 1, {k})").alias("near"))
+    parts = placed.select("cell", "d", "id").mapInArrow(run, "cell int, n long, r double, near array<struct<d: double, id: long>>")
+    sizes = parts.select("cell", "n", "r", F.explode("near").alias("x"), F.col("near")[0].alias("head")).withColumn("lead", F.col("x") == F.col("head"))
+    each = sizes.groupBy("cell", F.col("x.id").alias("id")).agg(F.min("x.d").alias("d"), F.sum(F.when(F.col("lead"), F.col("n")).otherwise(0)).alias("n"), F.max("r").alias("r"))
+    return each.groupBy("cell").agg(F.sum("n").alias("n"), F.max("r").alias("r"), F.expr(f"slice(array_sort(collect_list(struct(d, id))), 1, {k})").alias("near"))
 
 
 #: DuckDB: all pairs of the stated queries with all rows.
