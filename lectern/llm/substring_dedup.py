@@ -7,8 +7,8 @@ A word goes if a window of 20 consecutive words that covers it has the same word
 2. Two bit maps of fixed size tell which phrases recur, and which recur so often that one task should not see them all. They may err by letting through
    too much, never too little; what passes wrongly fails to be confirmed below.
 3. A second pass takes an excerpt around each phrase that may recur: the words of all windows that name it. A task keeps, of equal excerpts, the
-   one that starts first; the others are repeats already. Excerpts are dealt out by phrase, those of very frequent phrases window by window, by the window's hash.
-4. Each task compiles, for a bounded number of excerpts at a time, an Aho-Corasick automaton of the phrases confirmed to recur there, streams the excerpts through it,
+   one that starts first; the others are repeats already, by equality of their words: no automaton sees them. Excerpts are dealt out by phrase, those of very frequent phrases window by window, by the window's hash.
+4. Each task compiles, for a bounded number of excerpts at a time, an Aho-Corasick automaton of the phrases confirmed to recur there, streams the excerpts (never whole documents) through it,
    and compares the words of the windows around each place it reports. All but the first occurrence of a window are repeats.
 5. Repeats are gathered by document and cut from its words.
 
