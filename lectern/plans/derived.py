@@ -15,8 +15,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each region and nation; every seventh nation declares an edge to a document that doesn't exist."""
     region = spark.read.parquet(f"{sf_dir}/region.parquet").select(
         F.format_string("docs/region-%d.md", "r_regionkey").alias("id"), F.format_string("# %s\n\nAbout.\n\n## The Nations of It\n\nText.\n", "r_name").alias("text"))
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").join(
-        F.broadcast(spark.read.parquet(f"{sf_dir}/region.parquet").limit(1_000)), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").join(spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
     edge = F.format_string("- Depends on [Region](region-%d.md#%s): lies in it\n", "n_regionkey", F.replace(F.lower("r_name"), F.lit(" "), F.lit("-")))
     self_edge = F.format_string("- Extends [Facts](#facts): of itself\n")
     lost = F.when(F.col("n_nationkey") % 7 == 0, F.format_string("- Implements [Lost](lost-%d.md): not there\n", "n_nationkey")).otherwise("")
