@@ -23,7 +23,7 @@ from lectern.functions.text import local_link
 from lectern.operators.identity import version
 from lectern.operators.metadata import lenient
 from lectern.operators.scan import front_matter, parse
-from lectern.sources.globs import PROTECTED, Glob, special_folder
+from lectern.sources.globs import PROTECTED, any_of, named_folders, special_folder
 
 DOCUMENTS, SOURCE_BYTES, CORPUS_BYTES, CONFIG_BYTES, GLOBS = 2_048, 32 << 20, 64 << 20, 64 << 10, 64
 INCLUDE = ("**/*.md", "**/*.markdown", "**/*.mdown")
@@ -33,29 +33,35 @@ MARKDOWN = re.compile(r"\.(md|markdown|mdown)\Z", re.IGNORECASE | re.ASCII)
 
 @dataclass
 class Selection:
-    include: list[Glob]
-    exclude: list[Glob]
-    archive: list[Glob]
+    """Globs of a collection; each use of them is one compiled pattern."""
+
+    include: list[str]
+    exclude: list[str]
+    archive: list[str]
+
+    def __post_init__(self) -> None:
+        self.included, self.excluded, self.archived = map(any_of, (self.include, self.exclude, self.archive))
+        self.opened = named_folders([*self.include, *self.archive])
+        self.pruned = any_of([g for g in self.exclude if g.endswith("/**") and not g.startswith("!")])
 
     def skips(self, name: str, path: str) -> bool:
         """Whether a folder or file isn't even looked at."""
-        return name in PROTECTED or special_folder(name) and not any(g.opens_folder(name, path) for g in (*self.include, *self.archive))
+        return name in PROTECTED or special_folder(name) and not self.opened.fullmatch(path)
 
     def prunes(self, path: str) -> bool:
-        return any(g.source.endswith("/**") and not g.source.startswith("!") and g.matches(path + "/") for g in self.exclude)
+        return self.pruned.fullmatch(path + "/") is not None
 
     def classify(self, path: str) -> bool | None:
         """Whether a selected file is historical; None if it isn't selected."""
-        if not MARKDOWN.search(path) or any(g.matches(path) for g in self.exclude):
+        if not MARKDOWN.search(path) or self.excluded.fullmatch(path):
             return None
-        if any(g.matches(path) for g in self.archive):
+        if self.archived.fullmatch(path):
             return True
-        return False if any(g.matches(path) for g in self.include) else None
+        return False if self.included.fullmatch(path) else None
 
     def identity(self) -> str:
         units = lambda xs: sorted(xs, key=lambda x: x.encode("utf-16-be"))
-        return json.dumps({"include": units(g.source for g in self.include), "exclude": units(g.source for g in self.exclude),
-                           "archive": units(g.source for g in self.archive)}, ensure_ascii=False, separators=(",", ":"))
+        return json.dumps({"include": units(self.include), "exclude": units(self.exclude), "archive": units(self.archive)}, ensure_ascii=False, separators=(",", ":"))
 
 
 def root_folder(root: str) -> str:
@@ -73,9 +79,9 @@ def root_folder(root: str) -> str:
     return path
 
 
-def _globs(value: object, name: str, default: tuple[str, ...]) -> list[Glob]:
+def _globs(value: object, name: str, default: tuple[str, ...]) -> list[str]:
     if value is None:
-        return [Glob(g) for g in default]
+        return [*default]
     if not isinstance(value, list) or len(value) > GLOBS:
         raise QueryError("INVALID_CONFIG", f"{name} must contain at most {GLOBS} relative globs")
     out = []
@@ -86,7 +92,8 @@ def _globs(value: object, name: str, default: tuple[str, ...]) -> list[Glob]:
         if g.startswith("/") or "\0" in g or ".." in g.split("/"):
             raise QueryError("INVALID_CONFIG", f"{name}[{k}] must stay inside the project root")
         try:
-            out.append(Glob(g))
+            any_of([g]), named_folders([g])
+            out.append(g)
         except (ValueError, re.error) as e:
             raise QueryError("INVALID_CONFIG", f"{name}[{k}] is not a valid glob", {"reason": str(e)}) from None
     return out

@@ -8,7 +8,7 @@ SPECIAL = set("\\.+()|^$@%&~#<>=\" '")
 
 
 def regex(glob: str) -> str:
-    """* and ? stay inside a path segment, ** doesn't; {a,b} and [..] as usual; raises ValueError for an unclosed group."""
+    """For use with re.S: * and ? stay inside a path segment, ** doesn't; {a,b} and [..] as usual; raises ValueError for an unclosed group."""
     out, i, depth = [], 0, 0
     while i < len(glob):
         c = glob[i]
@@ -44,27 +44,7 @@ def regex(glob: str) -> str:
         i += 1
     if depth:
         raise ValueError("unclosed alternatives")
-    return "(?s)" + "".join(out)
-
-
-class Glob:
-    """A relative glob; an odd number of leading exclamation marks turns it round."""
-
-    def __init__(self, source: str):
-        self.source = source
-        bare = source.lstrip("!")
-        self.negated = (len(source) - len(bare)) % 2 == 1
-        self.pattern = regex(bare)
-        self.match = re.compile(self.pattern).fullmatch
-        parts = bare.split("/")
-        #: (name, regex of the path up to it) of segments that name hidden or generated folders.
-        self.opens = [] if self.negated else [(p, re.compile(regex("/".join(parts[:k + 1]))).fullmatch) for k, p in enumerate(parts) if special_folder(p)]
-
-    def matches(self, path: str) -> bool:
-        return (self.match(path) is not None) != self.negated
-
-    def opens_folder(self, name: str, path: str) -> bool:
-        return any(n == name and m(path) for n, m in self.opens)
+    return "".join(out)
 
 
 #: Folders never opened, and folders skipped unless a glob names them. Fixed values.
@@ -74,3 +54,26 @@ GENERATED = ("vendor", "dist", "build", "target")
 
 def special_folder(name: str) -> bool:
     return name in GENERATED or name.startswith(".")
+
+
+def any_of(globs: list[str]) -> re.Pattern:
+    """One pattern for the paths that any of the globs selects; an odd number of leading exclamation marks turns a glob round."""
+    plain, turned = [], []
+    for g in globs:
+        bare = g.lstrip("!")
+        (turned if (len(g) - len(bare)) % 2 else plain).append(regex(bare))
+    return re.compile("|".join([*(f"(?:{x})" for x in plain), *(f"(?!(?:{x})\\Z).*" for x in turned)]) or "(?!)", re.S)
+
+
+def named_folders(globs: list[str]) -> re.Pattern:
+    """One pattern for the paths of hidden or generated folders that a segment of a glob, not turned round, names outright."""
+    found = []
+    for g in globs:
+        bare = g.lstrip("!")
+        if (len(g) - len(bare)) % 2 == 0:
+            at = 0
+            for name in bare.split("/"):
+                if special_folder(name):
+                    found.append(regex(bare[:at]) + re.escape(name))
+                at += len(name) + 1
+    return re.compile("|".join(found) or "(?!)", re.S)
