@@ -356,33 +356,29 @@ def settle_marks(s: str, events: list[tuple[str, str, int]]) -> list[tuple[str,
     return [("text", v[:left[k]], at) if t == "mark" else (t, v, at) for k, (t, v, at) in enumerate(events) if t != "mark" or left[k]]
 
 
-def explicit_anchors(markup: str, closing_of: str | None) -> tuple[list[tuple[str, int]], str | None]:
-    """Anchors in a run of markup, and the element whose raw text is still open behind it."""
-    out, k, low = [], 0, markup.lower()
-    while k < len(markup):
-        if closing_of == "plaintext":
-            break
-        if closing_of:
-            ending = re.compile("-->" if closing_of == "!--" else rf"</{closing_of}(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>").search(low, k)
-            if not ending:
-                break
-            k, closing_of = ending.end(), None
-            continue
-        k = markup.find("<", k)
-        if k < 0:
-            break
-        if low.startswith("<!--", k):
-            closing_of, k = "!--", k + 4
-            continue
-        tag = re.compile(r"<(?:[^>\"']|\"[^\"]*\"|'[^']*')*>").match(markup, k)
-        if not tag:
-            break
-        if m := re.match(r"<([a-z]+)(?=[\s>])", low[k:tag.end()]):
-            closing_of = m[1] if m[1] in RAW_TEXT else None
-        if m := ANCHOR.fullmatch(tag[0]):
-            out.append((m[1], k))
-        k = tag.end()
-    return out, closing_of
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+_CONTENT = "|".join(e for e in RAW_TEXT if e != "plaintext")
+#: What markup consists of: comments, elements of raw text with their content, other tags; a tag without an end takes all that follows.
+MARKUP_PIECE = re.compile(rf"<!--(?:.*?-->|(?P<comment>.*))|<(?P<element>{_CONTENT})(?=[\s>]){_ATTRIBUTES}(?:.*?</(?P=element)(?=[\s>/]){_ATTRIBUTES}|(?P<open>.*))"
+                          rf"|(?P<endless><plaintext(?=[\s>]){_ATTRIBUTES}.*)|(?P<tag><{_ATTRIBUTES})|<.*", re.I | re.S)
+#: How a piece ends that an earlier run of markup left open.
+CLOSING = {"!--": re.compile("-->"), "plaintext": re.compile("(?!)")} | {e: re.compile(rf"</{e}(?=[\s>/]){_ATTRIBUTES}", re.I) for e in RAW_TEXT if e != "plaintext"}
+
+
+def explicit_anchors(markup: str, unclosed: str | None) -> tuple[list[tuple[str, int]], str | None]:
+    """Anchors in a run of markup, and what it leaves open: a comment, an element of raw text, or nothing."""
+    start = 0
+    if unclosed:
+        closed = CLOSING[unclosed].search(markup)
+        if not closed:
+            return [], unclosed
+        start = closed.end()
+    pieces = list(MARKUP_PIECE.finditer(markup, start))
+    names = [(a[1], m.start()) for m in pieces if m["tag"] and (a := ANCHOR.fullmatch(m["tag"]))]
+    last = pieces[-1] if pieces else None
+    if last is None or last["comment"] is last["open"] is last["endless"] is None:
+        return names, None
+    return names, "!--" if last["comment"] is not None else "plaintext" if last["endless"] else last["element"].lower()
 
 
 @dataclass
