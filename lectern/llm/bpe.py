@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lectern.llm.common import small_batches, texts
+from lectern.llm.common import released, small_batches, texts
 
-#: Characters of text whose new pre-tokens share one queue; also bounds what a worker remembers.
-BUFFER_CHARS = 8_000_000
+#: Characters of text whose new pre-tokens share one queue.
+BUFFER_CHARS = 1_000_000
+#: Units whose ids a worker remembers from one buffer to the next.
+KNOWN_UNITS = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -210,39 +212,60 @@ class Bpe:
 
     def encode_all(self, docs: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        own: list[list[str] | None] = []  # pieces of texts without units
+        known, packed = self.known, self.packed
+        if len(known) > KNOWN_UNITS:
+            known.clear()
         used: set[str] = set()
         need: set[str] = set()
-        for text in docs:
-            if not text:
-                own.append([])
-            elif self.uneven(text):
-                own.append(self.find(text))
-                need.update(own[-1])
-            else:
+        whole = [bool(text and self.uneven(text)) for text in docs]
+        for text, at_once in zip(docs, whole, strict=True):
+            if at_once:
+                need.update(self.find(text))
+            elif text:
                 first, units = self.plan(text)
-                own.append(None)
                 need.update(self.find(first))
                 used.update(units)
-        known = {u: got for u in used if (got := self.known.get(u)) is not None}
-        new = {u: self.pieces(u) for u in used if u not in known}
-        for ps in new.values():
+        parts = {u: self.pieces(u) for u in used.difference(known)}
+        del used
+        for ps in parts.values():
             need.update(ps)
-        data = {p: p.encode("utf-8", "replace") for p in need}
-        packed = self.packed
-        ids = {p: packed[d] for p, d in data.items() if d in packed}
-        rest = [p for p in data if p not in ids]
-        ids.update(zip(rest, self.merge_all([data[p] for p in rest]), strict=True))
-        for u, ps in new.items():
+        ids: dict[str, bytes] = {}
+        rest, data = [], []
+        for x in need:
+            if (got := packed.get(d := x.encode("utf-8", "replace"))) is None:
+                rest.append(x)
+                data.append(d)
+            else:
+                ids[x] = got
+        del need
+        ids.update(zip(rest, self.merge_all(data), strict=True))
+        for u, ps in parts.items():
             known[u] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
-        self.known = known  # what the last buffer used
+        del parts, rest, data
         out = []
-        for text, pieces in zip(docs, own, strict=True):
-            if pieces is None:
+        for text, at_once in zip(docs, whole, strict=True):
+            if not text:
+                out.append(b"")
+            elif at_once:
+                out.append(b"".join(map(ids.__getitem__, self.find(text))))
+            else:
                 first, units = self.plan(text)
                 out.append(b"".join([*map(ids.__getitem__, self.find(first)), *map(known.__getitem__, units)]))
-            else:
-                out.append(b"".join(map(ids.__getitem__, pieces)))
+        return out
+
+    def encode_some(self, docs: list[str | None]) -> Iterator[bytes]:
+        """The same, with as many texts at a time as a buffer holds."""
+        first = size = 0
+        for k, text in enumerate(docs):
+            size += len(text or "")
+            if size >= BUFFER_CHARS or k + 1 == len(docs):
+                yield from self.encode_all(docs[first:k + 1])
+                first, size = k + 1, 0
+
+    def sizes(self) -> np.ndarray:
+        """Bytes of each id's token."""
+        out = np.zeros(self.barrier, np.int64)
+        out[list(self.vocab)] = [len(t) for t in self.vocab.values()]
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -305,5 +328,5 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             yield from flush()
 
     ddl = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text").mapInArrow(run, ddl)
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text").mapInArrow(released(run), ddl)
     return rows.withColumnRenamed("id", id_col)

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a position inside a document when (doc, position) is packed into one long.
-POS_BITS = 24
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     """Maximal runs of bytes other than space and \\t..\\r; the split of bytes uses exactly those six."""
     return text.split() if text else []
@@ -37,6 +35,20 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving free memory back to the system when its task ends: workers outlive tasks, and a long text leaves much of it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a temporary one only where it names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -59,18 +71,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys of a join that are looked at as heavy, at most.
+HEAVY_KEYS = 65_536
+
+
+def heavy_join(rows: DataFrame, table: DataFrame, key: str | list[str], count_col: str, least: int = 1_024) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key and the number of rows with that key, without one task for a hot key.
+
+    Keys with more than their share of 1 / HEAVY_KEYS of all rows, and ``least``, are HEAVY_KEYS at most: they are broadcast, and their rows aren't shuffled.
+    """
+    keys = [key] if isinstance(key, str) else key
+    total = table.agg(F.sum(count_col)).first()[0] or 0
+    edge = max(least, total // HEAVY_KEYS)
+    hot = cut(table.where(F.col(count_col) > edge))
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    light = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(count_col) <= edge), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(light)
+
+
 #: Edges that one task holds at once while it contracts them.
 LOCAL_EDGES = 250_000
 
 
 def contracted(edges: DataFrame) -> DataFrame:
     """Edges (u, v), v < u, with the same components: each task replaces runs of up to LOCAL_EDGES of its edges by stars around their least nodes."""
+    node = edges.dtypes[0][1]
+    kind = {"bigint": pa.int64(), "binary": pa.binary()}[node]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
+        root: dict = {}
         seen = 0
 
-        def find(x: int) -> int:
+        def find(x):
             top = x
             while (up := root.get(top, top)) != top:
                 top = up
@@ -82,7 +115,7 @@ def contracted(edges: DataFrame) -> DataFrame:
             nodes = [x for x in root if find(x) != x]
             for k in range(0, len(nodes), 65_536):
                 some = nodes[k:k + 65_536]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root[x] for x in some], pa.int64())], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, kind), pa.array([root[x] for x in some], kind)], ["u", "v"])
             root.clear()
 
         for batch in batches:
@@ -96,11 +129,11 @@ def contracted(edges: DataFrame) -> DataFrame:
                 seen = 0
         yield from flush()
 
-    return edges.mapInArrow(run, "u long, v long")
+    return edges.mapInArrow(released(run), f"u {node}, v {node}")
 
 
 def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge list (a, b: long): rows (node, component = smallest node).
+    """Connected components of an undirected edge list (a, b: long or binary): rows (node, component = smallest node).
 
     Tasks first contract the edges they hold, a bounded number at a time. What is left, if more than one task's worth,
     goes through alternating large-star and small-star steps (Kiveris et al. 2014); each is a grouped minimum, so no

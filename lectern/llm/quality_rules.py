@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WordHash, binary, cut, rolling, small_batches, words_of
+from lectern.llm.common import WordHash, binary, cut, released, rolling, small_batches, words_of
 
 SYMBOLS = b"#*$%&|<>"
 #: Rule -> score in whole thousandths; higher is worse.
@@ -100,7 +100,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) id", f"coalesce(cast(`{stratum_col}` as string), '') stratum",
                            f"cast(`{text_col}` as string) text")
-    out = rows.mapInArrow(run, "id long, stratum string, " + ", ".join(f"{n} long" for n in NAMES))
+    out = rows.mapInArrow(released(run), "id long, stratum string, " + ", ".join(f"{n} long" for n in NAMES))
     return out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import binary, small_batches, words_of
+from lectern.llm.common import binary, released, small_batches, words_of
 
 SAMPLE, MAX_FEATURES, FALSE_SHARE = 20_000, 4_096, 0.05
 GRADES = 3
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             some = names[k:k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([both[0][n] for n in some], pa.int64()), pa.array([both[1][n] for n in some], pa.int64())], ["f", "c", "t"])
 
-    counted = texts.mapInArrow(tally, "f string, c long, t long").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).persist()  # of the sample
+    counted = texts.mapInArrow(released(tally), "f string, c long, t long").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).persist()  # of the sample
     try:
         sizes = counted.where("f = ''").first()
         if not sizes or not sizes["c"] or not sizes["t"]:
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             got = [look.of(x) for x in binary(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.int64())], ["y", "x", "hits"])
 
-    data = texts.mapInArrow(sparse, "y int, x array<int>, hits long").collect()  # of the sample
+    data = texts.mapInArrow(released(sparse), "y int, x array<int>, hits long").collect()  # of the sample
     data.sort(key=lambda r: (r["y"], r["hits"], r["x"]))  # the same sums on every run
     y, hits = np.array([r["y"] for r in data]), np.array([r["hits"] for r in data])
     marks = np.quantile(hits[y == 1], [i / GRADES for i in range(1, GRADES)])
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True)]], schema=schema)
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text")
-    out = rows.mapInArrow(run, "id long, p_toxic double, expected_severity double, grade int, toxic boolean")
+    out = rows.mapInArrow(released(run), "id long, p_toxic double, expected_severity double, grade int, toxic boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -234,4 +234,4 @@ def reject(docs: DataFrame, model: Model | None, text_col: str = "text", reject_
         for batch in batches:
             yield batch.filter(pa.array([bool(model.above(look.of(t)[0])[0] < reject_at) for t in binary(batch, text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
