@@ -11,6 +11,8 @@ the sections' ends. A token that lies in one section counts there; one that cros
 Under each rule the counts of a document add up to its tokens. Sections are lines, each with the \\n that ends it, or given columns:
 the document is then their texts joined by ``separator``, which belongs to the column before it; a null column is an empty section.
 
+Encoding is that of the operator for byte-level BPE, so its time doesn't grow with the square of a run of white space or letters.
+
 Rules: a null or empty document has one section, number 0, without tokens; bytes that are not UTF-8 count as U+FFFD; strings of special tokens are
 ordinary text; repeated rows are counted each. Whole texts are encoded, whatever their length; no shuffle.
 """
@@ -23,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lectern.llm.bpe import load_ranks
-from lectern.llm.common import small_batches, texts
+from lectern.llm.bpe import codec
+from lectern.llm.common import released, small_batches, texts
 
 RULES = ("start", "end", "majority", "fraction")
 
@@ -50,20 +52,6 @@ def allot(sizes: np.ndarray, ends: np.ndarray, rule: str) -> np.ndarray:
     return out
 
 
-class Counter:
-    def __init__(self, path: str, pattern: str):
-        import tiktoken
-
-        ranks = load_ranks(path)
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for tok, r in ranks.items():
-            self.size[r] = len(tok)
-
-    def count(self, text: str, ends: np.ndarray, rule: str) -> np.ndarray:
-        return allot(self.size[np.array(self.encode(text), np.int64)], ends, rule)
-
-
 def line_ends(data: bytes) -> np.ndarray:
     """Ends in bytes of lines with their \\n; no empty line after a last \\n."""
     at = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
@@ -81,22 +69,23 @@ def attribute(docs: DataFrame, path: str, pattern: str, rule: str = "majority",
     names = ["id", "section", "first_char", "end_char", "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, pattern)
+        bpe = codec(path, pattern)
+        size = bpe.sizes()
         for batch in batches:
-            parts = [texts(batch, f"c{k}") for k in range(len(columns))]
+            parts = [[x or "" for x in texts(batch, f"c{k}")] for k in range(len(columns))]
+            whole = [separator.join(own) for own in zip(*parts, strict=True)] if fields else parts[0]
             out: list[list] = [[] for _ in kinds]
-            for n, i in enumerate(batch.column(0).to_pylist()):
-                own = [p[n] or "" for p in parts]
-                text = separator.join(own)
-                data = text.encode()
+            for n, (i, text, ids) in enumerate(zip(batch.column(0).to_pylist(), whole, bpe.encode_some(whole), strict=True)):
                 if fields:
+                    own = [p[n] for p in parts]
                     glued = [x + separator for x in own[:-1]] + own[-1:]
-                    ends, chars = np.cumsum([len(x.encode()) for x in glued]), np.cumsum([len(x) for x in glued])
+                    ends, chars = np.cumsum([len(x.encode("utf-8", "replace")) for x in glued]), np.cumsum([len(x) for x in glued])
                 else:
+                    data = text.encode("utf-8", "replace")
                     ends = line_ends(data)
                     wide = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80  # first bytes of characters
                     chars = np.concatenate([[0], np.cumsum(wide)])[ends]
-                got = counter.count(text, ends, rule) if data else np.zeros(len(ends))
+                got = allot(size[np.frombuffer(ids, "<u4")], ends, rule)
                 out[0] += [i] * len(ends)
                 out[1] += range(len(ends))
                 out[2] += [0, *chars[:-1].tolist()]
@@ -106,4 +95,4 @@ def attribute(docs: DataFrame, path: str, pattern: str, rule: str = "majority",
                 yield pa.RecordBatch.from_arrays([pa.array(c[k:k + 8192], t) for c, t in zip(out, kinds, strict=True)], names)
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) id", *[f"cast(`{c}` as string) c{k}" for k, c in enumerate(columns)])
-    return rows.mapInArrow(run, "id long, section int, first_char long, end_char long, n_tokens double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), "id long, section int, first_char long, end_char long, n_tokens double").withColumnRenamed("id", id_col)
