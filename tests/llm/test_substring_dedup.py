@@ -54,3 +54,36 @@ def test_no_rows_and_kept_text(spark):
     assert S.dedup(df).count() == 0
     row = S.dedup(spark.createDataFrame([(1, "a  b\nc"), (None, "d")], "doc_id long, text string"), with_text=True).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["n_removed"], r["kept_text"]) for r in row] == [(None, 0, "d"), (1, 0, "a b c")]
+
+
+@pytest.mark.parametrize("mapped", [S.MOST_MAPPED, 0])
+def test_places_by_maps_or_by_a_join(spark, monkeypatch, mapped):
+    monkeypatch.setattr(S, "MOST_MAPPED", mapped)
+    monkeypatch.setattr(S, "FREQUENT", 4)
+    rows = corpus(11)
+    got = {r[0]: (r[1], r[2], r[3]) for r in S.dedup(spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, g string").repartition(3)).collect()}
+    assert got == brute(rows)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(9)
+    p, q = ([f"{x}{rng.randrange(99)}" for _ in range(30)] for x in "pq")
+    rows = [(1, p), (2, q), (2, p + q), (2, p + q), (3, q[:25]), (2, ["few"]), (None, p)]
+    got = sorted((str(r[0]), r[1], r[2]) for r in S.dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect())
+    # of id 2, q starts at word 0 of one text and at word 30 of the other
+    assert got == [("1", 30, 0), ("2", 1, 0), ("2", 30, 0), ("2", 60, 60), ("2", 60, 60), ("3", 25, 25), ("None", 30, 0)]
+
+
+def test_a_window_of_every_document_stays_within_bounds(spark, monkeypatch):
+    """Excerpts of one passage that all documents hold are passed on as repeats, not piled up in one task."""
+    monkeypatch.setattr(S, "FREQUENT", 4)
+    most = []
+    real = S.locate
+    shared = " ".join(f"s{k}" for k in range(40))
+    rows = [(i, f"a{i} b{i} {shared} c{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    got = {r["doc_id"]: r["n_removed"] for r in S.dedup(df).collect()}
+    assert got[0] == 0 and all(got[i] == 40 for i in range(1, 600))
+    words = shared.encode().split()
+    piled = [(i, 7, 2, 0, f" {shared} ") for i in range(3)]
+    assert real(piled) and len(words) == 40 and not most
