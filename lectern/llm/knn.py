@@ -7,12 +7,14 @@ the smallest Euclidean distances: |q - x|^2 = |q|^2 + M2 - 2 q.x.
 1. A bounded sample gives pivots; every vector and query goes to the cell of its nearest pivot (one narrow pass).
 2. Cell summaries (size, radius, the k + 1 least distances to the pivot among distinct ids) are aggregated; they are pivots * 2 (k + 2) numbers. For the queries of a
    cell they give a radius theta within which k neighbours of each query are sure to be.
-3. A vector goes only to those query cells whose lower bound |p_i p_j| - r_i - |s p_j| is within theta (and, by the
-   hyperplane between two pivots, no nearer bound excludes it). Cells are split into blocks by a hash of the vector's id, so no task gets an unbounded group.
-4. Each (query cell, block) is solved by integer matrix products; k best of each block meet in one last grouping.
-
-Rules: vectors that are null, empty, or hold null or non-finite components take no part; vectors of another length than the most common one
-take none either; ties go to the smaller id; repeated ids are each a candidate but never of their own id; a query id that
+3. Query cells are put into groups of neighbouring cells that hold GROUP_QUERIES queries at most (a cell with more makes several groups), so that a task can hold
+   a group's queries. A vector goes once to each group, not to each cell, of which some cell's lower bound |p_i p_j| - r_i - |s p_j| is within theta.
+   Groups are split into blocks by a hash of the vector's id, so no task gets an unbounded group.
+4. Each (group, block) is solved by integer matrix products, cell by cell, and only with the vectors that the cell's bound lets through; k best of each block meet in one last grouping.
+
+Rules: vectors that are null, empty, or hold null or non-finite components take no part, nor do those with a component outside 64 bits once it is a whole number;
+vectors of another length than the most common one take none either; scores beyond 64 bits count as the end of that range; ties go to the smaller id;
+repeated ids are each a candidate but never of their own id; a query id that
 stands repeatedly is asked once, with the least of its vectors; fewer than k candidates give fewer rows.
 """
 
@@ -27,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import cut, mix64
+from lectern.llm.common import cut, mix64, released
 
-PIVOT_SAMPLE, MOST_PIVOTS, BLOCK_ROWS = 4_096, 1_024, 100_000
+PIVOT_SAMPLE, MOST_PIVOTS, BLOCK_ROWS, GROUP_QUERIES = 4_096, 1_024, 100_000, 20_000
+#: Whole numbers that a long surely holds after the rounding of doubles.
+WIDEST = 2.0**62
 
 
 def integers(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v: array<long>) of the vectors that take part, but for their length."""
-    ok = f"size(`{vec_col}`) > 0 and forall(`{vec_col}`, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('Infinity'))"
+    ok = f"size(`{vec_col}`) > 0 and forall(`{vec_col}`, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('Infinity') and abs(256D * cast(x as double)) <= {WIDEST!r}D)"
     return df.where(f"`{id_col}` is not null and {ok}").selectExpr(f"cast(`{id_col}` as long) id", f"transform(`{vec_col}`, x -> cast(floor(256D * cast(x as double)) as bigint)) v")
 
 
@@ -65,8 +69,37 @@ def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
     return x[picked]
 
 
+def query_groups(between: np.ndarray, asked: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """Cell -> (its first group, number of its groups): cells with up to ``most`` queries in all share a group, each the nearest left to the one before."""
+    out: dict[int, tuple[int, int]] = {}
+    left, cell, group, held = set(asked), min(asked, default=0), 0, 0
+    while left:
+        left.discard(cell)
+        if held and held + asked[cell] > most:
+            group, held = group + 1, 0
+        n = -(-asked[cell] // most)
+        out[cell] = group, n
+        held += asked[cell]
+        if n > 1:
+            group, held = group + n, 0
+        if left:
+            near = np.fromiter(left, np.int64)
+            cell = int(near[between[cell, near].argmin()])
+    return out
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of whole-number rows as longs, ends of the range standing for what is beyond."""
+    bound = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
+    if bound < 2**53:  # every sum is exact in doubles
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if bound < 2**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
+
+
 def top_k(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
-          pivots: int | None = None, sample: int = PIVOT_SAMPLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+          pivots: int | None = None, sample: int = PIVOT_SAMPLE, block_rows: int = BLOCK_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """Per query its k best: query_id, rank (from 1), vec_id, score."""
     spark = data.sparkSession
     schema = T.StructType.fromDDL("query_id long, rank int, vec_id long, score long")
@@ -76,8 +109,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
         return spark.createDataFrame([], schema)
     dim = width["n"]
     vecs, asks = all_data.where(F.size("v") == dim), all_queries.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    m2, total = vecs.agg(F.max(F.expr("aggregate(v, 0L, (a, x) -> a + x * x)")), F.count(F.lit(1))).first()
-    m2 = float(m2)
+    m2, total = vecs.agg(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + cast(x as double) * cast(x as double))")), F.count(F.lit(1))).first()
     chosen = vecs.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").collect()  # at most `sample` rows
     pivots = pivots or min(MOST_PIVOTS, max(16, int(total**0.5) // 7))
     centres = farthest_first(lifted(np.array([r["v"] for r in chosen], np.int64), m2), pivots)
@@ -96,68 +128,64 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
     ddl = "id long, v array<long>, cell int, d double"
     # written once: both are read by the summaries and by the join
-    here, there = cut(vecs.mapInArrow(placed(False), ddl)), cut(asks.mapInArrow(placed(True), ddl))
-    near = _nearest(here, k + 1)
-    cells = {r["cell"]: r for r in near.collect()}  # at most `pivots` rows of 2 k + 5 numbers
-    reach = {r["cell"]: r["r"] for r in there.groupBy("cell").agg(F.max("d").alias("r")).collect()}
+    here, there = cut(vecs.mapInArrow(released(placed(False)), ddl)), cut(asks.mapInArrow(released(placed(True)), ddl))
+    cells = {r["cell"]: r for r in _nearest(here, k + 1).collect()}  # at most `pivots` rows of 2 k + 5 numbers
+    reach = {r["cell"]: r for r in there.groupBy("cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect()}
     between = distances(centres, centres)
     slack = 1e-6 * (1 + np.sqrt(m2))
-    sends: list[tuple[int, int, float]] = []  # (data cell, query cell, least distance to the own pivot that matters)
-    for i, r in reach.items():
+    least = np.full((len(centres), len(centres)), np.inf)  # [query cell, data cell]: the least distance to the own pivot that matters
+    for i, q in reach.items():
         upper: dict[int, float] = {}
         for j, c in cells.items():
             for d, who in c["near"]:
-                upper[who] = min(upper.get(who, np.inf), r + between[i, j] + d)
+                upper[who] = min(upper.get(who, np.inf), q["r"] + between[i, j] + d)
         theta = sorted(upper.values())[k] if len(upper) > k else np.inf  # k ids besides a query's own
-        for j in cells:
-            sends.append((j, i, float(max(0.0, between[i, j] - r - theta - slack))))
-    plan: dict[int, list[tuple[int, float]]] = {}
-    rows_to: dict[int, int] = {}
-    for j, i, least in sends:
-        if cells[j]["r"] >= least:
-            plan.setdefault(j, []).append((i, least))
-            rows_to[i] = rows_to.get(i, 0) + cells[j]["n"]
-    blocks = {i: max(1, -(-rows // block_rows)) for i, rows in rows_to.items()}
+        least[i] = np.maximum(0.0, between[i] - q["r"] - theta - slack)
+    groups = query_groups(between, {i: q["n"] for i, q in reach.items()}, group_queries)
+    members: dict[int, list[int]] = {}
+    for i, (g, n) in groups.items():
+        for x in range(g, g + n):
+            members.setdefault(x, []).append(i)
+    needs = {g: least[cs].min(0) for g, cs in members.items()}  # of a group: the least distance by data cell
+    blocks = {g: max(1, -(-sum(c["n"] for j, c in cells.items() if c["r"] >= needs[g][j]) // block_rows)) for g in members}
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, cell, d = (batch.column(c).to_numpy() for c in (0, 2, 3))
-            rows, to, block = [], [], []
-            for j in np.unique(cell):
-                mine = np.flatnonzero(cell == j)
-                for i, least in plan.get(int(j), ()):
-                    hit = mine[d[mine] >= least]
-                    rows.append(hit)
-                    to.append(np.full(len(hit), i, np.int32))
-                    block.append((mix64(ids[hit]) % np.uint64(blocks[i])).astype(np.int32))
-            if rows and sum(map(len, rows)):
-                r = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(r), batch.column(1).take(r), pa.array(np.concatenate(to)), pa.array(np.concatenate(block))], ["id", "v", "cell", "block"])
-
-    per_cell = F.array(*[F.lit(blocks.get(i, 1)) for i in range(len(centres))])
-    left = there.select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.element_at(per_cell, F.col("cell") + 1) - 1)).alias("block"))
-    right = here.mapInArrow(replicate, "id long, v array<long>, cell int, block int")
+            for g, need in needs.items():
+                hit = np.flatnonzero(d >= need[cell])
+                if len(hit):
+                    r = pa.array(hit)
+                    yield pa.RecordBatch.from_arrays([*(c.take(r) for c in batch.columns), pa.array(np.full(len(hit), g, np.int32)), pa.array((mix64(ids[hit]) % np.uint64(blocks[g])).astype(np.int32))],
+                                                     ["id", "v", "cell", "d", "grp", "block"])
+
+    pairs = F.array(*[F.struct(F.lit(groups[i][0]).alias("g"), F.lit(groups[i][1]).alias("n")) if i in groups else F.struct(F.lit(0).alias("g"), F.lit(1).alias("n")) for i in range(len(centres))])
+    own = F.element_at(pairs, F.col("cell") + 1)
+    per_group = F.array(*[F.lit(blocks[g]) for g in range(len(members))] or [F.lit(1)])
+    placed_queries = there.select("id", "v", "cell", (own["g"] + F.pmod(F.xxhash64("id", F.lit(3)), own["n"])).cast("int").alias("grp"))
+    left = placed_queries.select("id", "v", "cell", "grp", F.explode(F.sequence(F.lit(0), F.element_at(per_group, F.col("grp") + 1) - 1)).alias("block"))
+    right = here.mapInArrow(released(replicate), "id long, v array<long>, cell int, d double, grp int, block int")
 
     def solve(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or s.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        s = s.sort_values("id", kind="stable")
-        ids, a, b = s["id"].to_numpy(), np.stack(q["v"]).astype(np.float64), np.stack(s["v"]).astype(np.float64)
-        if np.abs(a).max() * np.abs(b).max() * a.shape[1] >= 2**53:  # beyond that doubles don't hold every sum
-            a, b = np.stack(q["v"]).astype(np.int64), np.stack(s["v"]).astype(np.int64)
         out = []
-        qids = q["id"].to_numpy()
-        for at in range(0, len(a), 64):
-            for qid, row in zip(qids[at:at + 64], a[at:at + 64] @ b.T):
-                ok = np.flatnonzero(ids != qid)
-                out += [(qid, ids[t], int(row[t])) for t in ok[_best(row[ok], k)]]
+        if not q.empty and not s.empty:
+            s = s.sort_values("id", kind="stable")
+            ids, b, cell, d = s["id"].to_numpy(), np.stack(s["v"]), s["cell"].to_numpy(), s["d"].to_numpy()
+            for i, some in q.groupby("cell"):
+                near = np.flatnonzero(d >= least[int(i)][cell])
+                there, wide = ids[near], b[near]
+                a, qids = np.stack(some["v"]), some["id"].to_numpy()
+                for at in range(0, len(a), 64):
+                    for qid, row in zip(qids[at:at + 64], products(a[at:at + 64], wide)):
+                        ok = np.flatnonzero(there != qid)
+                        out += [(qid, there[t], int(row[t])) for t in ok[_best(row[ok], k)]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     def best(rows: DataFrame, *keys: str) -> DataFrame:
-        got = rows.groupBy("query_id", *keys).agg(F.expr(f"slice(array_sort(collect_list(struct(-score as s, vec_id as vec_id))), 1, {k})").alias("b"))
-        return got.select("query_id", F.posexplode("b").alias("pos", "b")).select("query_id", "pos", F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+        got = rows.groupBy("query_id", *keys).agg(F.expr(f"slice(array_sort(collect_list(struct(-1 - score as s, vec_id as vec_id))), 1, {k})").alias("b"))
+        return got.select("query_id", F.posexplode("b").alias("pos", "b")).select("query_id", "pos", F.col("b.vec_id").alias("vec_id"), (F.lit(-1) - F.col("b.s")).alias("score"))
 
-    found = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(solve, "query_id long, vec_id long, score long")
+    found = left.groupBy("grp", "block").cogroup(right.groupBy("grp", "block")).applyInPandas(solve, "query_id long, vec_id long, score long")
     if max(blocks.values(), default=1) > 64:
         found = best(found.withColumn("some", F.pmod(F.xxhash64("vec_id"), F.lit(64))), "some")
     return best(found).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "vec_id", "score")
@@ -168,8 +196,8 @@ def _best(row: np.ndarray, k: int) -> np.ndarray:
     if len(row) > 4 * k:
         edge = np.partition(row, len(row) - k)[len(row) - k]
         some = np.flatnonzero(row >= edge)
-        return some[np.argsort(-row[some], kind="stable")[:k]]
-    return np.argsort(-row, kind="stable")[:k]
+        return some[np.argsort(~row[some], kind="stable")[:k]]
+    return np.argsort(~row, kind="stable")[:k]
 
 
 def _nearest(placed: DataFrame, k: int) -> DataFrame:
@@ -191,7 +219,7 @@ def _nearest(placed: DataFrame, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int32()), pa.array([held[c][0] for c in cs], pa.int64()), pa.array([held[c][1] for c in cs], pa.float64()),
                                           pa.array([[{"d": x, "id": i} for x, i in zip(*map(np.ndarray.tolist, held[c][2:]), strict=True)] for c in cs], kind)], ["cell", "n", "r", "near"])
 
-    parts = placed.select("cell", "d", "id").mapInArrow(run, "cell int, n long, r double, near array<struct<d: double, id: long>>")
+    parts = placed.select("cell", "d", "id").mapInArrow(released(run), "cell int, n long, r double, near array<struct<d: double, id: long>>")
     sizes = parts.select("cell", "n", "r", F.explode("near").alias("x"), F.col("near")[0].alias("head")).withColumn("lead", F.col("x") == F.col("head"))
     each = sizes.groupBy("cell", F.col("x.id").alias("id")).agg(F.min("x.d").alias("d"), F.sum(F.when(F.col("lead"), F.col("n")).otherwise(0)).alias("n"), F.max("r").alias("r"))
     return each.groupBy("cell").agg(F.sum("n").alias("n"), F.max("r").alias("r"), F.expr(f"slice(array_sort(collect_list(struct(d, id))), 1, {k})").alias("near"))
