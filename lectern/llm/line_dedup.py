@@ -4,17 +4,18 @@ Two lines are linked if at most EDITS = 2 insertions, deletions or substitutions
 into EDITS + 1 segments has one that the other line holds unchanged, near the same place.
 1. Each line of a task, once, posts its segments under (length, segment number, content), and probes the index for its own length and those
    up to EDITS below, at the few starting places that the multi-match-aware bounds of the pass join leave. Contents are polynomial hashes made of
-   array operations over a whole batch.
-2. Index postings are reduced to one head a key; probes and postings meet only the head, so a common segment gives as many rows as it
-   has lines, never their pairs. Lines tied together this way form families.
-3. A family is cut into blocks by a hash; each pair of its blocks is one group of bounded size, with texts. There segments are probed again,
-   now line by line, and each candidate is verified by a banded bit-parallel edit distance.
-   The task returns the number of links of each line, and of the links only those that connect something new.
-4. Components of the links are classes. The first line of a class (smallest document id, then line number) stays, others go.
-
-Rules: lines end at \\n and are compared without white space at both ends; lines of fewer than MIN_CHARS characters, of which two edits would make
-unlike ones alike, are linked with nothing and take part, from ``least`` characters on, by equality alone; blank lines stay; equal lines that take
-part are always of one class; null and empty texts have no lines; ids lie within 2^39 of zero; repeated ids are one document for the join (its lines count once by number).
+   array operations over a whole batch. Both go through one exchange.
+2. The first index posting of each key is its head. Every other posting and every probe of the key meets the head: a list gives as many pairs as it has
+   lines, never their square. The lines that meet anything are fetched, and the pairs verified by a banded bit-parallel edit distance; what is confirmed forms classes.
+3. Lists whose lines, but for the head, still fall in several classes are cut into blocks by a hash; each pair of blocks is one group of bounded size, where
+   postings are compared with postings and probes of other classes. Nothing is ever tied together that isn't confirmed.
+4. Each class is cut into blocks in the same way, and in each pair of blocks the links of its lines are counted: segments are probed again, now line by line, and
+   each candidate is verified. The first line of a class (smallest document id, then line number) stays, others go.
+
+Rules: lines end at \\n and are compared without white space at both ends; of lines of fewer than MIN_CHARS characters, where two edits would make
+unlike ones alike, no edit is allowed: they take part by equality; blank lines stay; equal lines are always of one class; null and empty texts
+have no lines; rows that share an id and a text are one document, rows that share only the id are documents of their own, in the order of
+their texts' hashes; a row without an id loses no line, and has none listed.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_intdigest
+from xxhash import xxh3_128_digest, xxh3_128_intdigest
 
-from lectern.llm.common import POS_BITS, components, cut, groups, mix64, small_batches, texts
+from lectern.llm.common import components, cut, groups, heavy_join, mix64, released, small_batches, texts
 
 EDITS, MIN_CHARS, BLOCK = 2, 24, 128
-#: Lines of which a join sends the places to every executor; beyond it both sides are shuffled.
+#: Lines whose places a join sends to every executor; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 SEEN = 300_000
 _BASE = 0x9E3779B97F4A7C15
@@ -159,37 +160,42 @@ def within(a: str, b: str, most: int = EDITS) -> bool:
     return dist <= most
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_CHARS) -> DataFrame:
-    """(id, n_lines, at: line numbers, k1, k2: halves of the lines' 128-bit hashes) per row."""
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, g, text); g, a hash of the text, tells rows of one id apart."""
+    return docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text").select("id", F.xxhash64("text").alias("g"), "text")
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, g, n_lines, at: line numbers, k1, k2: halves of the lines' 128-bit hashes) per row; none listed without an id."""
     small_batches(docs.sparkSession)
+    names = ["id", "g", "n_lines", "at", "k1", "k2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, at, k1, k2 = [], [], [], []
-            for text in texts(batch, "text"):
-                count, own = long_lines(text, least)
+            for i, text in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
+                count, own = long_lines(text, 1)
+                own = own if i is not None else []
                 hs = [xxh3_128_intdigest(line.encode("utf-8", "replace")) for _, line in own]
                 n.append(count)
                 at.append([i for i, _ in own])
                 k1.append(np.array([h & _ONES for h in hs], np.uint64).view(np.int64))
                 k2.append(np.array([h >> 64 for h in hs], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(k1, pa.list_(pa.int64())), pa.array(k2, pa.list_(pa.int64()))],
-                                             ["id", "n_lines", "at", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(k1, pa.list_(pa.int64())), pa.array(k2, pa.list_(pa.int64()))], names)
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text").where("id is not null").mapInArrow(
-        run, "id long, n_lines long, at array<int>, k1 array<long>, k2 array<long>")
+    return _documents(docs, id_col, text_col).mapInArrow(released(run), "id long, g long, n_lines long, at array<int>, k1 array<long>, k2 array<long>")
 
 
-def postings(docs: DataFrame, text_col: str, probes: bool) -> DataFrame:
-    """(key, k1): index postings or probes of each line, once a task for lines met again."""
+def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, k1, posted): index postings (posted) and probes of each line, once a task for lines met again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         hasher = SegmentHash()
         for batch in batches:
             new: dict[int, str] = {}
-            for text in texts(batch, "text"):
-                for _, line in long_lines(text)[1]:
+            for i, text in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
+                for _, line in long_lines(text)[1] if i is not None else ():
                     h = xxh3_128_intdigest(line.encode("utf-8", "replace")) & _ONES
                     if h not in seen:
                         seen.add(h)
@@ -198,37 +204,105 @@ def postings(docs: DataFrame, text_col: str, probes: bool) -> DataFrame:
                 seen.clear()
             if new:
                 hasher.load(list(new.values()))
-                rows, keys = hasher.probes() if probes else hasher.index()
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(new, np.uint64, len(new)).view(np.int64)[rows])], ["key", "k1"])
+                k1 = np.fromiter(new, np.uint64, len(new)).view(np.int64)
+                for posted, (rows, keys) in ((True, hasher.index()), (False, hasher.probes())):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(k1[rows]), pa.array(np.full(len(rows), posted))], ["key", "k1", "posted"])
 
-    return docs.selectExpr(f"cast(`{text_col}` as string) text").mapInArrow(run, "key long, k1 long")
+    return _documents(docs, id_col, text_col).select("id", "text").mapInArrow(released(run), "key long, k1 long, posted boolean")
 
 
-def families(docs: DataFrame, text_col: str) -> DataFrame:
-    """(k1, family): lines tied together by segments; those alone are left out."""
-    index = postings(docs, text_col, False)
-    heads = index.groupBy("key").agg(F.min("k1").alias("head"), F.max("k1").alias("last"))
-    own = index.join(heads.where("head <> last"), "key")
-    met = postings(docs, text_col, True).join(heads, "key")
-    edges = own.select("k1", "head").union(met.select("k1", "head")).where("k1 <> head").select(F.col("k1").alias("a"), F.col("head").alias("b"))
-    return components(docs.sparkSession, edges).withColumnRenamed("node", "k1").withColumnRenamed("component", "family")
+def lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, k1, posted, head, m): postings and probes of keys that several lines meet at, but for the head; m of them in all, whether or not of one line."""
+    dealt = postings(docs, id_col, text_col).repartition("key")  # read by both sides of the join below, made once
+    own = F.when(F.col("posted"), F.col("k1"))
+    heads = dealt.groupBy("key").agg(F.min(own).alias("head"), F.count(F.lit(1)).alias("m"), F.min("k1").alias("lo"), F.max("k1").alias("hi"))
+    return dealt.join(heads.where("head is not null and lo <> hi").select("key", "head", "m"), "key").where("k1 <> head")
 
 
-def verify(rows: list[tuple], same: bool) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Links of each line among rows (block, line id, text) of one block or between two, and links that connect something new."""
-    rows = sorted(rows, key=lambda r: (len(r[2]), r[1]))
-    by_segment: dict[tuple[int, int, str], list[int]] = {}
-    count: dict[int, int] = {}
-    root = list(range(len(rows)))
-    spanning = []
+def tied_lines(docs: DataFrame, reps: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k1, k, line): the lines whose k1 is wanted, k being the whole hash; each is taken from its first place."""
+    places = reps.join(wanted, "k1").groupBy("place.id", "place.g").agg(F.collect_list("place.at").alias("want"))  # of one document
+    places = cut(places)
+    if (places.agg(F.sum(F.size("want"))).first()[0] or 0) <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, want in zip(texts(batch, "text"), batch.column(1).to_pylist(), strict=True):
+                lines = dict(long_lines(text, 1)[1])
+                out += [lines[at] for at in want]
+            keys = [xxh3_128_digest(line.encode("utf-8", "replace")) for line in out]
+            for n in range(0, len(out), 256):  # lines can be long
+                some = keys[n:n + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(k[8:], "big", signed=True) for k in some], pa.int64()), pa.array(some, pa.binary()), pa.array(out[n:n + 256])], ["k1", "k", "line"])
+
+    rows = _documents(docs, id_col, text_col).join(places, ["id", "g"]).select("text", "want")
+    return rows.mapInArrow(released(run), "k1 long, k binary, line string").dropDuplicates(["k"])
+
+
+def met_heads(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b): confirmed links among pairs (k1, head, c), c being the number of pairs with that head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = pa.array([within(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield batch.select([0, 1]).filter(ok)
+
+    heads = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("c")).join(lines.select(F.col("k1").alias("head"), F.col("k").alias("b"), F.col("line").alias("of_b")), "head")
+    full = heavy_join(pairs.join(lines.select("k1", F.col("k").alias("a"), F.col("line").alias("of_a")), "k1"), heads, "head", "c")
+    return full.select("a", "b", "of_a", "of_b").mapInArrow(released(run), "a binary, b binary")
+
+
+def blocked(rows: DataFrame, group: str, *fields: str) -> DataFrame:
+    """``rows`` with a group, its size m and a key k, once for each pair of blocks that they are in: (group, low, high, block, k, fields), dealt out and sorted by pair."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k", F.lit(7)), F.col("blocks")).cast("int"))
+    each = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = each.select(F.col(group), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k", *fields)
+    return pairs.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
+
 
-    def find(x: int) -> int:
+def compare(rows: list[tuple], same: bool) -> list[tuple[bytes, bytes]]:
+    """Links among rows (block, k, class, posted, line) of one list that join what isn't joined yet: postings with all that was posted or probed there."""
+    rows = sorted(rows, key=lambda r: len(r[4]))
+    root = {r[2]: r[2] for r in rows}
+
+    def find(x: bytes) -> bytes:
         while root[x] != x:
-            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    for j, (block, lid, text) in enumerate(rows):
+    out, low = [], 0
+    for j, (block, k, klass, posted, line) in enumerate(rows):
+        while len(line) - len(rows[low][4]) > EDITS:
+            low += 1
+        for i in range(low, j):
+            other = rows[i]
+            if (posted or other[3]) and (same or other[0] != block) and find(klass) != find(other[2]) and within(line, other[4]):
+                out.append((k, other[1]))
+                root[find(klass)] = find(other[2])
+    return out
+
+
+def met_in_lists(open_lists: DataFrame) -> DataFrame:
+    """(a, b): confirmed links among rows (key, m, k, class, posted, line) of lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in groups(batches, 3):
+            unique = list({(r[4], r[6]): r[3:] for r in group}.values())
+            if len(unique) > 1 and (got := compare(unique, key[1] == key[2])):
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.binary())], ["a", "b"])
+
+    return blocked(open_lists, "key", "class", "posted", "line").mapInArrow(released(run), "a binary, b binary")
+
+
+def verify(rows: list[tuple], same: bool) -> dict[bytes, int]:
+    """Links of each line among rows (block, k, line) of one block or between two."""
+    rows = sorted(rows, key=lambda r: len(r[2]))
+    by_segment: dict[tuple[int, int, str], list[int]] = {}
+    count: dict[bytes, int] = {}
+    for j, (block, k, text) in enumerate(rows):
         n, found = len(text), set()
         for less in range(EDITS + 1):
             for i in range(EDITS + 1):
@@ -239,81 +313,70 @@ def verify(rows: list[tuple], same: bool) -> tuple[dict[int, int], list[tuple[in
         for i in range(EDITS + 1):
             at, size = cuts(n, i)
             by_segment.setdefault((n, i, text[at:at + size]), []).append(j)
-        for i in sorted(found):
+        for i in found:
             if (same or rows[i][0] != block) and within(rows[i][2], text):
-                for x in (rows[i][1], lid):
+                for x in (rows[i][1], k):
                     count[x] = count.get(x, 0) + 1
-                a, b = find(i), find(j)
-                if a != b:
-                    root[b] = a
-                    spanning.append((rows[i][1], lid))
-    return count, spanning
-
-
-def links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, n): confirmed links (n null), and numbers of links n of a line a (b null). Lines go by their first place."""
-    family = families(docs, text_col)
-    member = cut(reps.join(family, "k1").select("lid", "family"))
-    blocks = member.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = member.join(blocks, "family").select("lid", "family", "blocks", F.pmod(F.xxhash64("lid", F.lit(7)), F.col("blocks")).cast("int").alias("block"))
-    wanted = placed.groupBy(F.shiftright("lid", POS_BITS).alias("id")).agg(
-        F.collect_list(F.struct(F.col("lid").bitwiseAND(F.lit((1 << POS_BITS) - 1)).cast("int").alias("at"), "family", "blocks", "block")).alias("want"))  # of one document
-    wanted = cut(wanted)
-    if member.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text, want in zip(batch.column(0).to_pylist(), texts(batch, "text"), batch.column(2).to_pylist(), strict=True):
-                lines = dict(long_lines(text)[1])
-                for w in want:
-                    if (line := lines.get(w["at"])) is not None:
-                        lid, f, n, mine = key << POS_BITS | w["at"], w["family"], w["blocks"], w["block"]
-                        out += [(f, min(mine, o), max(mine, o), mine, lid, line) for o in range(n)]
-            for k in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k:k + 4096], strict=True), kinds, strict=True)], names)
-
-    names, kinds = ["family", "low", "high", "block", "lid", "line"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text").join(wanted, "id").select("id", "text", "want")
-    dealt = rows.mapInArrow(pick, "family long, low int, high int, block int, lid long, line string")
+    return count
+
+
+def counted(members: DataFrame) -> DataFrame:
+    """(k, links) of the lines (class, m, k, line) of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, group in groups(batches, 3):
             unique = list({r[4]: r[3:] for r in group}.values())
-            if len(unique) > 1:
-                count, spanning = verify(unique, key[1] == key[2])
-                a = [*count, *(x for x, _ in spanning)]
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([None] * len(count) + [y for _, y in spanning], pa.int64()),
-                                                      pa.array([*count.values()] + [None] * len(spanning), pa.int64())], ["a", "b", "n"])
-
-    small_batches(docs.sparkSession)
-    return dealt.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(run, "a long, b long, n long")
-
-
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS) -> DataFrame:
-    """Per document id: n_lines (not blank), and of its lines that take part: lines (numbers from 0), classes (place of the class's first line:
-    document id * 2^24 + number), links (to how many other texts), n_links, n_removed. With ``least`` = 1 all lines that aren't blank take part."""
-    base = cut(lines_of(docs, id_col, text_col, least).dropDuplicates(["id"]))
-    each = base.select("id", F.explode(F.arrays_zip("at", "k1", "k2")).alias("x")).select(
-        F.shiftleft("id", POS_BITS).bitwiseOR(F.col("x.at")).alias("lid"), F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2"))
-    reps = cut(each.groupBy("k1", "k2").agg(F.min("lid").alias("lid")))
-    found = cut(links(docs, reps, id_col, text_col))
-    comp = components(docs.sparkSession, found.where("b is not null").select("a", "b"))
-    counted = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("links"))
-    known = comp.join(counted, F.col("node") == F.col("a"), "left").select("node", "component", "links")
-    table = reps.join(known, F.col("lid") == F.col("node"), "left").select(
-        "k1", "k2", F.coalesce("component", "lid").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    per = each.join(table, ["k1", "k2"]).groupBy(F.shiftright("lid", POS_BITS).alias("id")).agg(F.array_sort(F.collect_list(F.struct("lid", "class", "links"))).alias("l"))
-    none = F.array()
-    return base.select("id", "n_lines").join(per, "id", "left").select(
-        F.col("id").alias(id_col), "n_lines",
-        F.coalesce(F.expr(f"transform(l, x -> cast(x.lid & {(1 << POS_BITS) - 1} as int))"), none.cast("array<int>")).alias("lines"),
-        F.coalesce(F.expr("transform(l, x -> x.class)"), none.cast("array<long>")).alias("classes"),
-        F.coalesce(F.expr("transform(l, x -> x.links)"), none.cast("array<long>")).alias("links"),
-        F.coalesce(F.expr("aggregate(l, 0L, (a, x) -> a + x.links)"), F.lit(0)).alias("n_links"),
-        F.coalesce(F.expr("cast(size(filter(l, x -> x.class <> x.lid)) as long)"), F.lit(0)).alias("n_removed"))
+            if len(unique) > 1 and (got := verify(unique, key[1] == key[2])):
+                yield pa.RecordBatch.from_arrays([pa.array([*got], pa.binary()), pa.array([*got.values()], pa.int64())], ["k", "links"])
+
+    return blocked(members, "class", "line").mapInArrow(released(run), "k binary, links long").groupBy("k").agg(F.sum("links").alias("links"))
+
+
+def linked_lines(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k1, k2, class, links): lines that are linked with any other one; the class is a line's hash."""
+    spark = docs.sparkSession
+    met = cut(lists(docs, id_col, text_col))
+    pairs = met.select("k1", "head").distinct()
+    lines = cut(tied_lines(docs, reps, pairs.select("k1").union(pairs.select("head")).distinct(), id_col, text_col))
+    first = cut(met_heads(pairs, lines))
+    classes = components(spark, first).select(F.col("node").alias("k"), F.col("component").alias("class"))
+    # a line on both sides of a list stands there once a side; heads have met all of theirs
+    listed = met.where("m > 2").select("key", "k1", "posted").distinct().join(lines, "k1").join(classes, "k", "left").withColumn("class", F.coalesce("class", "k"))
+    listed = cut(listed)
+    still = listed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("posted").alias("any"), F.count(F.lit(1)).alias("m")).where("any and lo <> hi")
+    more = cut(heavy_join(listed, still.select("key", "m"), "key", "m"))
+    links = first
+    if not more.isEmpty():
+        links = cut(first.unionByName(met_in_lists(more)))
+        classes = components(spark, links).select(F.col("node").alias("k"), F.col("component").alias("class"))
+    classes = cut(classes)
+    sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("m"))
+    members = heavy_join(classes, sizes, "class", "m").join(lines, "k").select("class", "m", "k", "line")
+    out = classes.join(counted(members), "k", "left").select("k", "class", F.coalesce("links", F.lit(0)).alias("links"))
+    half = lambda at: F.conv(F.substring(F.hex("k"), at, 16), 16, -10).cast("long")
+    return out.select(half(17).alias("k1"), half(1).alias("k2"), "class", "links")
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, text_hash (tells rows of one id apart), n_lines (not blank), and of these lines: lines (numbers from 0), classes (place of the class's
+    first line: document id and number), links (to how many other texts), removed (numbers of those that aren't the first of their class), n_links, n_removed."""
+    named = cut(lines_of(docs.where(F.col(id_col).isNotNull()), id_col, text_col).dropDuplicates(["id", "g"]))
+    nameless = lines_of(docs.where(F.col(id_col).isNull()), id_col, text_col)
+    each = named.select("id", "g", F.explode(F.arrays_zip("at", "k1", "k2")).alias("x")).select("id", "g", F.col("x.at").alias("at"), F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2"))
+    reps = cut(each.groupBy("k1", "k2").agg(F.min(F.struct("id", "g", "at")).alias("place"), F.count(F.lit(1)).alias("c")))
+    linked = cut(linked_lines(docs, reps, id_col, text_col))
+    known = linked.join(reps, ["k1", "k2"])
+    firsts = known.groupBy("class").agg(F.min("place").alias("first"))
+    table = reps.join(known.join(firsts, "class").select("k1", "k2", "first", "links"), ["k1", "k2"], "left").select(
+        "k1", "k2", "c", F.coalesce("first", "place").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
+    per = heavy_join(each, table, ["k1", "k2"], "c").groupBy("id", "g").agg(F.array_sort(F.collect_list(F.struct("at", "first", "links"))).alias("l"))  # of one document
+    gone = F.expr("transform(filter(l, x -> not (x.first.id = id and x.first.g = g and x.first.at = x.at)), x -> x.at)")
+    place = "struct(x.first.id as doc, x.first.at as line)"
+    listed = per.select("id", "g", F.expr("transform(l, x -> x.at)").alias("lines"), F.expr(f"transform(l, x -> {place})").alias("classes"), F.expr("transform(l, x -> x.links)").alias("links"), gone.alias("removed"))
+    empty = {"lines": "array<int>", "classes": "array<struct<doc: bigint, line: int>>", "links": "array<bigint>", "removed": "array<int>"}
+    rows = named.unionByName(nameless).select("id", "g", "n_lines").join(listed, ["id", "g"], "left")
+    return rows.select(F.col("id").alias(id_col), F.col("g").alias("text_hash"), "n_lines", *[F.coalesce(F.col(c), F.array().cast(t)).alias(c) for c, t in empty.items()]).withColumns({
+        "n_links": F.aggregate("links", F.lit(0).cast("long"), lambda a, x: a + x), "n_removed": F.size("removed").cast("long")})
 
 
 def drop_lines(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
@@ -322,10 +385,10 @@ def drop_lines(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text
     mark = "_"
     while any(c.startswith(mark) for c in docs.columns):  # names of its own beside those of the rows
         mark += "_"
-    key, numbers = f"{mark}id", f"{mark}gone"
-    gone = classes.where("n_removed > 0").select(F.col(id_col).alias(key), F.expr(
-        f"transform(filter(arrays_zip(lines, classes), x -> x.classes <> (shiftleft({id_col}, {POS_BITS}) | x.lines)), x -> x.lines)").alias(numbers))
-    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> not array_contains({numbers}, i)), '\\n')")
+    key, text, numbers = f"{mark}id", f"{mark}text", f"{mark}gone"
+    gone = classes.where("n_removed > 0").select(F.col(id_col).alias(key), F.col("text_hash").alias(text), F.col("removed").alias(numbers))
+    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\n', -1), (x, i) -> not array_contains({numbers}, i)), '\n')")
     new = {text_col: kept, size_col: F.length(kept)}
-    return docs.join(gone, F.col(id_col).cast("long") == F.col(key), "left").select(*[
+    same = (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(text))
+    return docs.join(gone, same, "left").select(*[
         F.when(F.col(numbers).isNull(), F.col(c)).otherwise(new[c].cast(docs.schema[c].dataType)).alias(c) if c in new else F.col(c) for c in docs.columns])

@@ -4,7 +4,8 @@ import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
-from lectern.llm import bpe, line_dedup, mixing, toxicity
+from lectern.llm import bpe, mixing, toxicity
+from tests.llm.test_line_dedup import POS_BITS
 from tests.llm.test_line_dedup import brute as line_brute
 from tests.llm.test_minhash import brute as near_brute
 
@@ -46,7 +47,7 @@ def test_run_as_brute_force(spark, tmp_path):
     left = {r[0]: r for r in rows if r[0] not in judged}
     classes = line_brute([(i, r[1]) for i, r in left.items()])
     for i, r in left.items():
-        gone = {k & (1 << line_dedup.POS_BITS) - 1 for k, (c, _) in classes.items() if k >> line_dedup.POS_BITS == i and c != k}
+        gone = {k & (1 << POS_BITS) - 1 for k, (c, _) in classes.items() if k >> POS_BITS == i and c != k}
         if gone:
             t = "\n".join(x for n, x in enumerate(r[1].split("\n")) if n not in gone)
             left[i] = (i, t, *r[2:4], len(t))
