@@ -41,6 +41,8 @@ RULES = {
 }
 STEP, BINS = 10, 200  # cutoffs are multiples of 10 thousandths; the last bin holds all scores beyond
 WINDOW = 8
+#: Strata whose cutoffs go to every executor; with more, documents are shuffled by stratum.
+BROADCAST_STRATA = 100_000
 UNION = 0.9  # share of delta for the rules' common cutoff
 
 
@@ -98,7 +100,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1).cast(pa.string()), *[pa.array(c, pa.int64()) for c in cols]], schema=schema)
 
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) id", f"coalesce(cast(`{stratum_col}` as string), '') stratum",
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{stratum_col}` as string) stratum",
                            f"cast(`{text_col}` as string) text")
     out = rows.mapInArrow(released(run), "id long, stratum string, " + ", ".join(f"{n} long" for n in NAMES))
     return out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
@@ -153,9 +155,9 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, limit: float, level: float,
     return next(c for c in certified if caught[c] >= share * most)
 
 
-def pools(good: dict[str, int], alpha: float, delta: float) -> dict[str, int]:
+def pools(good: dict[str | None, int], alpha: float, delta: float) -> dict[str | None, int]:
     """Stratum -> number of its pool: as many pools as have good rows enough for a cutoff that loses none. Goes by sizes only, never by scores."""
-    by_size = sorted(good, key=lambda s: (good[s], s))
+    by_size = sorted(good, key=lambda s: (good[s], s is not None, s))
     for most in range(len(by_size), 0, -1):
         need = math.log(delta / most) / math.log1p(-alpha)
         k = sum(n < need for n in good.values())
@@ -168,7 +170,7 @@ def pools(good: dict[str, int], alpha: float, delta: float) -> dict[str, int]:
 
 def certify(measured: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05,
             id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """One row per stratum: a cutoff bin for each rule (null: none certified). All labelled rows count."""
+    """One row per stratum (as ``of``): a cutoff bin for each rule (null: none certified). All labelled rows count; the driver holds a number a stratum."""
     labelled = (labels.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{label_col}` as int) y").where("y in (0, 1) and id is not null")
                 .groupBy("id").agg(F.min("y").alias("y")))
     rows = measured.where("not base_failed").join(labelled, "id")
@@ -177,7 +179,7 @@ def certify(measured: DataFrame, labels: DataFrame, alpha: float = 0.01, delta:
     bins = cut(stacked.groupBy("stratum", "rule", "bin").agg(
         F.sum("y").alias("good"), F.sum(F.lit(1) - F.col("y")).alias("bad")))
     found = pools({r[0]: r[1] for r in bins.where("rule = ''").groupBy("stratum").agg(F.sum("good")).collect()}, alpha, UNION * delta)  # a row a stratum
-    pool = F.broadcast(measured.sparkSession.createDataFrame([*found.items()], "stratum string, pool int"))
+    pool = F.broadcast(measured.sparkSession.createDataFrame([*found.items()], "of string, pool int"))
     n, rules = max(found.values(), default=0) + 1, list(RULES)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -191,8 +193,9 @@ def certify(measured: DataFrame, labels: DataFrame, alpha: float = 0.01, delta:
             cuts = dict.fromkeys(cuts, cuts[""])
         return pd.DataFrame([{"pool": pdf["pool"].iloc[0]} | {"cut_" + r: cuts[r] for r in rules}]).astype({"cut_" + r: "Int64" for r in rules})
 
-    each = bins.join(pool, "stratum").groupBy("pool").applyInPandas(pick, "pool int, " + ", ".join(f"cut_{r} long" for r in rules))
-    return each.join(pool, "pool").drop("pool")
+    each = bins.join(pool, F.col("stratum").eqNullSafe(F.col("of"))).groupBy("pool").applyInPandas(pick, "pool int, " + ", ".join(f"cut_{r} long" for r in rules))
+    table = each.join(pool, "pool").drop("pool")
+    return F.broadcast(table) if len(found) <= BROADCAST_STRATA else table
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, id_col: str = "doc_id",
@@ -202,6 +205,6 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float
     cuts = certify(measured, labels, alpha, delta, id_col)
     broken = F.filter(F.array(*[
         F.when(F.expr(f"least(({e}) div {STEP}, {BINS}) > cut_{k}"), F.lit(k)) for k, e in RULES.items()]), lambda x: x.isNotNull())
-    out = measured.join(cuts, "stratum", "left").withColumn("broken", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(broken))
+    out = measured.join(cuts, F.col("stratum").eqNullSafe(F.col("of")), "left").withColumn("broken", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(broken))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken", "stratum", "n_lines", "n_upper_words")
