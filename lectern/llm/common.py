@@ -50,9 +50,11 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where it names none (tests)."""
+    """The shared folder that the cluster names. A temporary one only in a single process (tests): executors of a cluster could not see it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lectern-ckpt-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -67,6 +69,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame) -> str:
+    """A beginning that no column's name has."""
+    mark = "_"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    return mark
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

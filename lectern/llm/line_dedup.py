@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh3_128_intdigest
 
-from lectern.llm.common import components, cut, groups, heavy_join, mix64, released, small_batches, texts
+from lectern.llm.common import components, cut, groups, heavy_join, mix64, released, small_batches, texts, unused
 
 EDITS, MIN_CHARS, BLOCK = 2, 24, 128
 #: Lines whose places a join sends to every executor; beyond it both sides are shuffled.
@@ -382,9 +382,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_lines(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """``docs`` with the lines gone that aren't the first of their class; all columns stay, and rows whose text loses nothing stay as they are.
     A column ``size_col``, if there is one, gets the new length of texts that lose lines."""
-    mark = "_"
-    while any(c.startswith(mark) for c in docs.columns):  # names of its own beside those of the rows
-        mark += "_"
+    mark = unused(docs)
     key, text, numbers = f"{mark}id", f"{mark}text", f"{mark}gone"
     gone = classes.where("n_removed > 0").select(F.col(id_col).alias(key), F.col("text_hash").alias(text), F.col("removed").alias(numbers))
     kept = F.expr(f"array_join(filter(split(`{text_col}`, '\n', -1), (x, i) -> not array_contains({numbers}, i)), '\n')")

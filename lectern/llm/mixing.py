@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, unused
 
 #: Numbers in all sources' distribution functions up to which these go to every executor (8 MB); beyond, rows are joined by source.
 BROADCAST_NUMBERS = 1_000_000
@@ -52,9 +52,7 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float]
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None,
         temperature: float = 0.5, budget: float | None = None, seed: int = 0) -> DataFrame:
     """All columns of ``docs`` for each copy of a row, with copy_no (from 1) and shuffle_key; any columns of these names are replaced."""
-    mark = "_"
-    while any(c.startswith(mark) for c in docs.columns):  # names of its own beside those of the rows
-        mark += "_"
+    mark = unused(docs)
     named = [F.col(c).alias(f"{mark}{c}") for c in ("mix_source", "mix_cdf")]
     table = rates(docs, source_col, weights, temperature, budget).select(*named)
     if (table.agg(F.sum(F.size(f"{mark}mix_cdf"))).first()[0] or 0) <= BROADCAST_NUMBERS:

@@ -7,8 +7,8 @@ stays constant and only data of the tier is rewritten. A version is written besi
 visible by one rename that fails if another writer was first; readers see whole versions only, and a job
 that dies leaves the last version as it was. The driver holds one line of metadata for each live shard, never rows.
 
-Rules: rows, nulls, repeated rows and all columns are kept as they are; a column named as the arrival column is taken as it is;
-an empty arrival commits a version without new shards.
+Rules: rows, nulls, empty and very long texts, repeated rows and all columns, whatever their names, are kept as they are;
+an empty arrival commits a version that reads as the one before; ties in size go by path. A writer that comes second gets a Conflict, and what it wrote is deleted.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import json
 import math
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +40,16 @@ class ShardStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def version(self) -> int:
-        """The newest version committed; 0 if there is none."""
+    def versions(self) -> list[int]:
+        """Versions whose manifests are there, oldest first."""
         fs, p = self._fs(f"{self.root}/manifest")
         if not fs.exists(p):
-            return 0
-        return max([0, *(int(s.getPath().getName()[1:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v"))])
+            return []
+        return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v"))
+
+    def version(self) -> int:
+        """The newest version committed; 0 if there is none."""
+        return max([0, *self.versions()])
 
     def manifest(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
@@ -52,20 +57,27 @@ class ShardStore:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{v:08d}")
 
+    def _delete(self, *paths: str) -> None:
+        for path in paths:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+
     def _commit(self, rows: DataFrame, version: int) -> int:
-        draft = f"{self.root}/drafts/{uuid.uuid4().hex}"
+        """Make rows the manifest of a version: one rename, which fails if the version is there already."""
+        draft, target = f"{self.root}/drafts/{uuid.uuid4().hex}", f"{self.root}/manifest/v{version:08d}"
         rows.coalesce(1).write.parquet(draft)  # a line for each shard
-        fs, src = self._fs(draft)
-        _, folder = self._fs(f"{self.root}/manifest")
-        _, dst = self._fs(f"{self.root}/manifest/v{version:08d}")
+        fs, folder = self._fs(f"{self.root}/manifest")
         fs.mkdirs(folder)
-        # rename() into an existing directory would nest, so its presence counts as lost; so does a nested draft
-        if fs.exists(dst) or not fs.rename(src, dst):
-            raise Conflict(f"version {version}")
-        _, nested = self._fs(f"{self.root}/manifest/v{version:08d}/{src.getName()}")
-        if fs.exists(nested):
-            fs.delete(nested, True)
-            raise Conflict(f"version {version}")
+        jvm = self.spark._jvm
+        rename = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(self._fs(draft)[1], self._fs(target)[1], jvm.java.lang.reflect.Array.newInstance(rename, 0))
+        except Py4JJavaError as e:
+            self._delete(draft)
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(f"version {version}") from None
+            raise
         return version
 
     def _described(self, folder: str, schema: T.StructType, version: int) -> DataFrame:
@@ -102,7 +114,11 @@ class ShardStore:
         else:
             mark = "_arrival_" + uuid.uuid4().hex[:8]
             rows.withColumn(mark, arrival).write.partitionBy(mark).parquet(folder)
-        return self._commit(self.manifest(v - 1).unionByName(self._described(folder, schema, v)), v)
+        try:
+            return self._commit(self.manifest(v - 1).unionByName(self._described(folder, schema, v)), v)
+        except Conflict:
+            self._delete(folder)
+            raise
 
     def tiers(self) -> list[tuple[int, list[str], int]]:
         """(tier, paths, bytes) of the tiers to merge: below the target size and with fanout shards at least."""
@@ -127,14 +143,17 @@ class ShardStore:
         return self.version()
 
     def vacuum(self, keep: int = 1) -> int:
-        """Delete shards that none of the newest ``keep`` versions lists. Returns their number."""
-        newest = self.version()
-        live = {r["path"] for v in range(max(1, newest - keep + 1), newest + 1) for r in self.manifest(v).select("path").collect()}
-        old = {r["path"] for v in range(1, newest - keep + 1) for r in self.manifest(v).select("path").collect()} - live
-        for path in old:
-            fs, p = self._fs(path)
-            fs.delete(p, False)
-        return len(old)
+        """Delete shards that only versions older than the newest ``keep`` list, and these versions' manifests. Returns the number of shards."""
+        listed = self.versions()
+        old = listed[:-keep] if keep else listed
+        if not old:
+            return 0
+        lines = self.spark.read.schema(MANIFEST).parquet(*[f"{self.root}/manifest/v{v:08d}" for v in listed])
+        last = F.max(F.regexp_extract(F.col("_metadata.file_path"), r"/v(\d+)/[^/]*$", 1).cast("long"))
+        dead = [r["path"] for r in lines.groupBy("path").agg(last.alias("last")).where(F.col("last") <= old[-1]).select("path").collect()]
+        self._delete(*dead)
+        self._delete(*(f"{self.root}/manifest/v{v:08d}" for v in old))
+        return len(dead)
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version."""
