@@ -213,7 +213,8 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, k1, posted, head, m): postings and probes of keys that several lines meet at, but for the head; m of them in all, whether or not of one line."""
-    dealt = postings(docs, id_col, text_col).repartition("key")  # read by both sides of the join below, made once
+    # read by both sides of the join below and made once: the filter is what the join would push below one side alone
+    dealt = postings(docs, id_col, text_col).where("key is not null and k1 is not null").repartition("key")
     own = F.when(F.col("posted"), F.col("k1"))
     heads = dealt.groupBy("key").agg(F.min(own).alias("head"), F.count(F.lit(1)).alias("m"), F.min("k1").alias("lo"), F.max("k1").alias("hi"))
     return dealt.join(heads.where("head is not null and lo <> hi").select("key", "head", "m"), "key").where("k1 <> head")
