@@ -9,15 +9,11 @@ Nothing is dropped silently: each declaration, good or bad, is a row, and a bad
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.functions.text import folder, has_scheme, is_markdown, normalized, percent_decoded, trimmed
-from lectern.operators.scan import Found, Inline, Line, parse_blocks
-from lectern.operators.structure import nav_label
+from lectern.operators.structure import nav_label, outline, unfolded
 
 #: Edge kinds and how documents write them. Fixed values.
 KINDS = {"depends-on": "Depends on", "exception-to": "Exception to", "supersedes": "Supersedes", "implements": "Implements", "extends": "Extends"}
@@ -25,46 +21,12 @@ DECLARATIONS = 2_048
 BAD = "Invalid entry in the Relationships section"
 
 
-def _one_link(line: str) -> str | None:
-    """The target of a line that is one list item of plain text with exactly one link without a title."""
-    item = re.match(r"- ", line)
-    if not item:
-        return None
-    found = Found()
-    parse_blocks([Line(2, line[2:], len(line))], 0, 1, found)
-    if len(found.blocks) != 1 or found.blocks[0][0] != "text":
-        return None
-    s = found.blocks[0][1][0][0]
-    events = Inline(s, {}).run(0, len(s))
-    links = [v for t, v, _ in events if t == "link"]
-    return links[0] if len(links) == 1 and all(t in ("text", "link", "mark") for t, _, _ in events) else None
-
-
-one_link = F.udf(_one_link, T.StringType(), useArrow=False)  # only on lines inside a Relationships block
-
-
-def blocks(heads: DataFrame) -> DataFrame:
-    """(id, line, heading_end, block_end, second): the first such heading of each document; second is the line of another one."""
-    wanted = (F.col("level") == 2) & (trimmed(F.col("text")) == "Relationships")
-    rows = heads.where(wanted).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("seq")))
-    again = rows.where("n = 2").select("id", F.col("line").alias("second"))
-    first = rows.where("n = 1").select("id", F.col("line").alias("head_line"), F.col("byte_end").alias("block_start"), F.col("seq").alias("head_seq"))
-    ends = heads.join(first, "id").where("seq > head_seq and level <= 2").groupBy("id").agg(F.min("byte_start").alias("block_end"))
-    return first.join(ends, "id", "left").join(again, "id", "left")
-
-
-def declarations(heads: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, line, kind, literal, target, reason, cause): cause is null for a well-formed declaration."""
-    near = lines.join(blocks(heads), "id")
+def declarations(entries: DataFrame) -> DataFrame:
+    """Entries of outlines (see structure.unfolded) as (their columns, kind, literal, target, reason, cause): cause is null for a well-formed declaration."""
     line = F.col("content")
-    inside = (F.col("byte_start") >= F.col("block_start")) & F.coalesce(F.col("byte_start") < F.col("block_end"), F.lit(True)) & (trimmed(line) != "")
-    head_bad = (F.col("line") == F.col("head_line")) & (line != "## Relationships")
-    again = F.coalesce(F.col("line") == F.col("second"), F.lit(False))
     literal = "|".join(KINDS.values())
-    parts = near.where(inside | head_bad | again).select(
-        "id", "line", "content", head_bad.alias("head_bad"), again.alias("again"),
-        F.regexp_extract(line, rf"^- ({literal}) ", 1).alias("literal"),
-        F.regexp_extract(line, rf"^- (?:{literal}) (.*)$", 1).alias("rest"))
+    keep = [c for c in entries.columns if c not in ("content", "head_bad", "again", "link")]
+    parts = entries.withColumn("literal", F.regexp_extract(line, rf"^- ({literal}) ", 1)).withColumn("rest", F.regexp_extract(line, rf"^- (?:{literal}) (.*)$", 1))
     rest = F.col("rest")
     parts = parts.withColumn("label", F.regexp_extract(rest, r"^\[(.*?)\]\(", 1)).withColumn("after", F.regexp_extract(rest, r"^\[.*?\]\((.*)$", 1))
     parts = parts.withColumn("target", F.regexp_extract("after", r"^([^)]*)\)", 1)).withColumn("tail", F.regexp_extract("after", r"^[^)]*\)(.*)$", 1))
@@ -79,16 +41,16 @@ def declarations(heads: DataFrame, lines: DataFrame) -> DataFrame:
              .when(~F.col("after").contains(")"), "malformed Markdown link destination")
              .when(~F.col("tail").startswith(": "), "expected ': ' followed by a reason")
              .when(trimmed(F.col("reason")) == "", "relationship reason must be non-empty"))
-    parsed = parts.withColumn("shape", shape).withColumn("parsed", F.when(F.col("shape").isNull(), one_link(line)))
+    parsed = parts.withColumn("shape", shape)
     target = F.col("target")
     path, anchor = F.regexp_extract(target, r"^[^#]*", 0), F.regexp_extract(target, r"#(.*)$", 1)
     fine = ((path != "") | target.contains("#")) & (~target.contains("#") | ((anchor != "") & ~anchor.contains("#"))) & ~path.rlike(r"[?\\]") & ~path.startswith("/") & \
         ~target.rlike(r"\s") & ((path == "") | is_markdown(path)) & ~has_scheme(target)
-    cause = F.coalesce("shape", F.when(F.col("parsed").isNull(), "entry must be one unordered list item with exactly one plain inline link")
-                       .when(F.col("parsed") != target, "entry must contain only its one parsed link")
+    cause = F.coalesce("shape", F.when(F.col("link").isNull(), "entry must be one unordered list item with exactly one plain inline link")
+                       .when(F.col("link") != target, "entry must contain only its one parsed link")
                        .when(~fine, "target must be a relative Markdown source with an optional non-empty fragment"))
     kind = F.element_at(F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (v, k)]), F.when(F.col("literal") != "", F.col("literal")))
-    return parsed.select("id", "line", kind.alias("kind"), "literal", "target", "reason", cause.alias("cause"))
+    return parsed.select(*keep, kind.alias("kind"), "literal", "target", "reason", cause.alias("cause"))
 
 
 def target_path(source: Column, target: Column) -> Column:
@@ -98,19 +60,26 @@ def target_path(source: Column, target: Column) -> Column:
     return F.when(path == "", source).when(~decoded.rlike(r"^/|\\"), normalized(F.concat(folder(source), decoded)))
 
 
-def resolved(wanted: DataFrame, documents: DataFrame, marks: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows (id, target, ...) with to_id, to_anchor, to_first, to_last and error (code, message); equi-joins on the path and on (path, anchor)."""
+def targets(outlines: DataFrame) -> DataFrame:
+    """What edges need of the documents that they point at, from outlines that keep hash and historical: (to_path, to_version, to_historical, to_lines, clashing, marks)."""
+    clash = F.array_min(F.transform(F.filter("marks", lambda m: m["clash"].isNotNull()), lambda m: F.struct(m["line_start"], m["anchor"], m["clash"])))
+    return outlines.select(F.col("id").alias("to_path"), F.col("hash").alias("to_version"), F.col("historical").alias("to_historical"), F.col("lines").alias("to_lines"), clash.alias("clashing"), "marks")
+
+
+def aimed(wanted: DataFrame) -> DataFrame:
+    """Rows (id, target, ...) with to_path and to_anchor, the parts of their target."""
+    target = F.col("target")
+    return wanted.withColumn("to_path", target_path(F.col("id"), target)).withColumn("to_anchor", percent_decoded(F.when(target.contains("#"), F.regexp_extract(target, r"#(.*)$", 1))))
+
+
+def resolved(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Aimed rows with to_id, to_first, to_last and error (code, message); equi-joins on the path, and on path and anchor."""
     target = F.col("target")
-    anchor = percent_decoded(F.when(target.contains("#"), F.regexp_extract(target, r"#(.*)$", 1)))
     path = F.regexp_extract(target, r"^[^#]*", 0)
-    rows = wanted.withColumn("to_path", target_path(F.col("id"), target)).withColumn("to_anchor", anchor)
-    known = documents.select(F.col("id").alias("to_id"), F.col("hash").alias("to_version"), F.col("historical").alias("to_historical")).join(
-        counts.select(F.col("id").alias("to_id"), F.col("lines").alias("to_lines")), "to_id")
-    spans = marks.groupBy("id", "anchor").agg(F.min("line_start").alias("a_first"), F.min_by("line_end", "line_start").alias("a_last"))
-    ambiguous = marks.where("clash is not null").groupBy(F.col("id").alias("to_id")).agg(F.min(F.struct("line_start", "anchor", "clash")).alias("clashing"))
-    full = (rows.join(known, F.col("to_path") == F.col("to_id"), "left")
-            .join(spans.select(F.col("id").alias("s_id"), "anchor", "a_first", "a_last"), (F.col("to_id") == F.col("s_id")) & (F.col("to_anchor") == F.col("anchor")), "left")
-            .join(ambiguous, "to_id", "left"))
+    spans = known.select("to_path", F.explode("marks").alias("m")).where("m.clash is null").select(
+        F.col("to_path").alias("s_path"), F.col("m.anchor").alias("s_anchor"), F.col("m.line_start").alias("a_first"), F.col("m.line_end").alias("a_last"))
+    full = (rows.join(known.drop("marks").withColumn("to_id", F.col("to_path")), "to_path", "left")
+            .join(spans, (F.col("to_id") == F.col("s_path")) & (F.col("to_anchor") == F.col("s_anchor")), "left"))
     says = lambda code, message: F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"))
     asked = target.contains("#")
     error = (F.when(percent_decoded(path).isNull(), says("INVALID_RELATION", "Invalid target percent encoding"))
@@ -120,13 +89,13 @@ def resolved(wanted: DataFrame, documents: DataFrame, marks: DataFrame, counts:
              .when(asked & F.col("to_anchor").isNull(), says("INVALID_RELATION", "Invalid anchor encoding"))
              .when(asked & F.col("clashing").isNotNull(), says("AMBIGUOUS_ANCHOR", "Document contains a duplicate anchor"))
              .when(asked & F.col("a_first").isNull(), says("INVALID_RELATION", "Relation anchor does not exist")))
-    return full.select(*wanted.columns, "to_id", "to_anchor", "to_version", "to_historical", F.when(asked, F.col("a_first")).otherwise(1).alias("to_first"),
+    return full.select(*[c for c in rows.columns if c != "to_path"], "to_id", "to_version", "to_historical", F.when(asked, F.col("a_first")).otherwise(1).alias("to_first"),
                        F.when(asked, F.col("a_last")).otherwise(F.col("to_lines")).alias("to_last"), "clashing", error.alias("error"))
 
 
-def edges(declared: DataFrame, documents: DataFrame, marks: DataFrame, counts: DataFrame) -> DataFrame:
+def edges(declared: DataFrame, known: DataFrame) -> DataFrame:
     """Resolved declarations, each with its first fault as fault (code, message, cause); a second declaration of the same edge is a fault."""
-    rows = resolved(declared, documents, marks, counts)
+    rows = resolved(aimed(declared), known)
     same = Window.partitionBy("id", "literal", "to_id", "to_anchor", "reason").orderBy("line")
     again = (F.row_number().over(same) > 1) & F.col("cause").isNull() & F.col("error").isNull()
     fault = lambda code, message, cause: F.struct(code.alias("code"), message.alias("message"), cause.alias("cause"))
@@ -142,3 +111,24 @@ def around(rows: DataFrame, document: str, direction: str = "both") -> DataFrame
     out, into = F.col("id") == d, F.col("to_id") == d
     keep = {"outgoing": out, "incoming": into, "both": out | into}[direction]
     return rows.where(keep).withColumn("navigation", nav_label(d, F.col("id"), F.col("to_id")))
+
+
+def relations_of(documents: DataFrame, document: str, direction: str = "both") -> DataFrame:
+    """The same from documents (id, text, hash, historical), without resolving any edge that doesn't touch the document.
+
+    What points at it is told by the path alone, before anything is joined; then only its own outline is joined. What it points at is looked up in the outlines of
+    just those documents.
+    """
+    own = F.col("id") == document
+    declared = lambda rows: declarations(unfolded(outline(rows), "entries"))
+    parts = []
+    if direction != "outgoing":
+        near = aimed(declared(documents)).where(F.col("to_path") == document)
+        parts.append(edges(near.drop("to_path", "to_anchor"), targets(outline(documents.where(own), "hash", "historical"))))
+    if direction != "incoming":
+        mine = declared(documents.where(own))
+        if direction == "both":  # its edges to itself are among those that point at it
+            mine = mine.where(~F.coalesce(target_path(F.col("id"), F.col("target")) == document, F.lit(False)))
+        there = F.broadcast(aimed(mine).select(F.col("to_path").alias("id")).distinct())  # of one document, DECLARATIONS at most
+        parts.append(edges(mine, targets(outline(documents.join(there, "id", "left_semi"), "hash", "historical"))))
+    return around(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), document, direction)

@@ -1,8 +1,7 @@
 """One pass over a Markdown document: headings, link destinations, explicit anchors.
 
-This is the one place where rows leave the JVM, as block and inline structure is beyond regular expressions. It gives flat events; sections, anchors, edges and
-findings are relational operators over them. Blocks are found by recursion over lines whose container prefixes are taken off; each line keeps the byte offset
-of what is left of it. Known limits: emphasis is only taken off heading texts, footnotes are ordinary text, and tables are read as paragraphs.
+Block and inline structure is beyond regular expressions, so this is Python; structure.outline() runs it once a document. Blocks are found by recursion over lines whose container prefixes are taken off; each line keeps the byte offset
+of what is left of it. Known limit: emphasis is only taken off heading texts.
 """
 
 from __future__ import annotations
@@ -10,12 +9,8 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
 MAX_ANCHORS = 32_768
 FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*)|$)")
@@ -26,6 +21,10 @@ SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 DEFINITION = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(<[^<>\n]*>|[^\s<]\S*)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$")
 TAG = re.compile(r"<(?:[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?|/[A-Za-z][A-Za-z0-9-]*\s*|!--(?:>|->|[\s\S]*?-->)|\?[\s\S]*?\?|![A-Za-z][^>]*|!\[CDATA\[[\s\S]*?\]\])(?:>|(?<=-->)|(?<=->))")
 AUTO = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)>")
+DELIMITERS = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+CELL = re.compile(r"(?:[^|\\]|\\.|\\$)*")
+NOTE = re.compile(r" {0,3}\[\^([^\[\]\s]+)\]:[ \t]*")
+NOTE_MARK = re.compile(r"\[\^([^\[\]\s]+)\]")
 ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 #: Elements that begin a block of markup wherever they stand. Fixed values of the format's definition.
 BLOCK_TAGS = ("address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -71,6 +70,7 @@ class Found:
 
     blocks: list[tuple] = field(default_factory=list)  # inline content waiting for all definitions
     definitions: dict[str, str] = field(default_factory=dict)
+    notes: set[str] = field(default_factory=set)  # labels of footnotes
 
 
 def width(s: str) -> int:
@@ -156,13 +156,49 @@ def parse_blocks(rows: list[Line], quotes: int, lists: int, out: Found) -> None:
                 if ending is not None and ending.search(rows[i - 1].text):
                     break
             out.blocks.append(("html", rows[first:i], quotes))
+        elif m := NOTE.match(s):
+            out.notes.add(label_key(m[1]))
+            inner = [Line(row.at + m.end(), s[m.end():], row.end)]
+            i += 1
+            while i < len(rows):
+                r = rows[i]
+                if width(r.text) >= 4 or not r.text.strip(" \t"):
+                    k = min(4, len(r.text) - len(r.text.lstrip(" ")))
+                    inner.append(Line(r.at + k, r.text[k:], r.end))
+                elif inner[-1].text.strip(" \t") and not starts_block(r.text) and not NOTE.match(r.text):
+                    inner.append(r)
+                else:
+                    break
+                i += 1
+            parse_blocks(inner, quotes, lists + 1, out)
+        elif i + 1 < len(rows) and "|" in s + rows[i + 1].text and DELIMITERS.match(rows[i + 1].text) and len(cells(row)) == len(cells(rows[i + 1])):
+            columns = len(cells(row))
+            first = i
+            while i < len(rows) and rows[i].text.strip(" \t") and (i < first + 2 or not starts_block(rows[i].text)):
+                if i != first + 1:
+                    out.blocks += [("text", [cell], quotes) for cell in cells(rows[i])[:columns]]
+                i += 1
         else:
             i = parse_paragraph(rows, i, quotes, lists, out)
 
 
+def cells(row: Line) -> list[tuple[str, int]]:
+    """Cells of a table's row with their offsets; a bar after a backslash is text, and its backslash goes."""
+    s = row.text.rstrip(" \t")
+    lead = len(s) - len(s.lstrip(" \t"))
+    lead += s[lead:lead + 1] == "|"
+    found = []
+    while lead < len(s) or not found:
+        m = CELL.match(s, lead)
+        own = m[0].strip(" \t")
+        found.append((own.replace("\\|", "|"), row.at + lead + len(m[0]) - len(m[0].lstrip(" \t"))))
+        lead = m.end() + 1
+    return found
+
+
 def parse_paragraph(rows: list[Line], i: int, quotes: int, lists: int, out: Found) -> int:
     first = i
-    while i < len(rows) and (m := DEFINITION.match(rows[i].text)):
+    while i < len(rows) and not NOTE.match(rows[i].text) and (m := DEFINITION.match(rows[i].text)):
         dest = m[2][1:-1] if m[2].startswith("<") else m[2]
         out.definitions.setdefault(label_key(m[1]), unescape(dest))
         i += 1
@@ -250,10 +286,10 @@ def destination(s: str, i: int) -> tuple[str, str, int] | None:
 
 
 class Inline:
-    """Events of one run of inline content: ("text" | "code" | "html" | "break" | "link" | "mark", value, offset in the run)."""
+    """Events of one run of inline content: ("text" | "code" | "html" | "break" | "link" | "mark" | "note", value, offset in the run)."""
 
-    def __init__(self, s: str, definitions: dict[str, str]):
-        self.s, self.definitions = s, definitions
+    def __init__(self, s: str, definitions: dict[str, str], notes: set[str] = frozenset()):
+        self.s, self.definitions, self.notes = s, definitions, notes
         self.events: list[tuple[str, str, int]] = []
 
     def run(self, a: int, b: int) -> list[tuple[str, str, int]]:
@@ -293,6 +329,8 @@ class Inline:
                 got, end = [("link", m[1] if ":" in m[1] else "mailto:" + m[1], k), ("text", m[1], k + 1)], m.end()
             elif c == "<" and (m := TAG.match(s, k)):
                 got, end = [("html", m[0], k)], m.end()
+            elif c == "[" and (m := NOTE_MARK.match(s, k, b)) and label_key(m[1]) in self.notes:
+                got, end = [("note", m[1], k)], m.end()
             elif c == "[" or c == "!" and s[k + 1:k + 2] == "[":
                 open_at = k + (c == "!")
                 linked = self.link(open_at, b)
@@ -410,8 +448,13 @@ def parse(text: str) -> Document:
         for p, o in parts:
             starts.append((at, o))
             at += len(p) + 1
-        place = lambda k: next(o + k - a for a, o in reversed(starts) if a <= k)  # noqa: E731, B023
-        events = settle_marks(s, Inline(s, found.definitions).run(0, len(s)))
+        heads = [a for a, _ in starts]
+
+        def place(k: int) -> int:
+            a, o = starts[bisect_right(heads, k) - 1]  # noqa: B023
+            return o + k - a
+
+        events = settle_marks(s, Inline(s, found.definitions, found.notes).run(0, len(s)))
         for t, v, k in events:
             if t == "link":
                 doc.links.append((v, place(k)))
@@ -434,35 +477,3 @@ def parse(text: str) -> Document:
         got, state = explicit_anchors(text[a:b], state)
         doc.anchors += [(name, a + k) for name, k in got]
     return doc
-
-
-EVENTS = "id string, kind string, seq int, level int, byte_start long, byte_end long, line int, value string"
-
-
-def scan(documents: DataFrame) -> DataFrame:
-    """(id, kind, seq, level, byte_start, byte_end, line, value): kinds are title, heading, anchor, link, and limit for a document with too many anchors."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for key, text in zip(part["id"], part["text"], strict=True):
-                if text is None:
-                    continue
-                doc = parse(text)
-                bounds = [0]
-                for c in text:
-                    bounds.append(bounds[-1] + len(c.encode("utf-8", "replace")))
-                ends = [b for _, _, b in line_spans(text)]
-                line = lambda k: min(bisect_right(ends, k), len(ends) - 1) + 1  # noqa: E731, B023
-                if doc.title is not None:
-                    out.append((key, "title", 0, None, None, None, None, doc.title))
-                if len(doc.headings) + len(doc.anchors) > MAX_ANCHORS:
-                    out.append((key, "limit", 0, None, None, None, None, None))
-                    continue
-                out += [(key, "heading", n, lv, bounds[a], bounds[b], line(a), t) for n, (lv, a, b, t) in enumerate(doc.headings)]
-                out += [(key, "anchor", n, None, bounds[k], None, line(k), name) for n, (name, k) in enumerate(doc.anchors)]
-                out += [(key, "link", n, None, bounds[k], None, line(k), dest) for n, (dest, k) in enumerate(doc.links)]
-            yield pd.DataFrame(out, columns=["id", "kind", "seq", "level", "byte_start", "byte_end", "line", "value"]).astype(
-                {"seq": "Int32", "level": "Int32", "byte_start": "Int64", "byte_end": "Int64", "line": "Int32"})
-
-    return documents.select("id", "text").mapInPandas(run, EVENTS)

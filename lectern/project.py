@@ -30,19 +30,31 @@ def _target_details(row: Any) -> dict:
 
 
 class Project:
-    def __init__(self, documents: DataFrame, warnings: list[dict], selection: str):
-        """``documents``: id, text, hash, historical, title, status, links."""
+    def __init__(self, documents: DataFrame, warnings: list[dict], selection: str, held: tuple[DataFrame, ...] = ()):
+        """``documents``: id, text, hash, historical, title, status, links; ``held``: frames that close() releases."""
         spark = documents.sparkSession
         order = Window.orderBy(F.collate("id", "UNICODE"), "id")  # of 2 048 documents at most
         self.documents = documents.withColumn("ord", F.row_number().over(order)).persist()
         self.ids = [r["id"] for r in self.documents.select("id").orderBy("ord").collect()]
-        self.warnings, self.spark = warnings, spark
+        self.warnings, self.spark, self.held = warnings, spark, held
         self.snapshot = identity.snapshot(self.documents, selection).first()["snapshot"]
-        self.events = scan.scan(self.documents).persist()
-        self.lines = lines.lines(self.documents)
-        self.counts = lines.line_counts(self.documents)
-        self.heads = structure.headings(self.events, self.documents)
-        self.marks = structure.anchors(self.events, self.heads, self.documents)
+        self.outlines = structure.outline(self.documents, "hash", "historical").persist()
+
+    def close(self) -> None:
+        """Release what is held on the executors."""
+        self.outlines.unpersist()
+        self.documents.unpersist()
+        for held in self.held:
+            held.unpersist()
+
+    def __enter__(self) -> Project:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def _outlines(self, documents: DataFrame) -> DataFrame:
+        return self.outlines.join(documents.select("id"), "id")
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, config: str = "lectern.json") -> Project:
@@ -51,9 +63,9 @@ class Project:
         found, warnings = files.walk(root, rules)
         places = files.collated(spark, [p for p, _, _ in found])
         kept, more = files.within_budget(sorted(found, key=lambda f: (f[1], places[f[0]])))
-        documents, broken = files.load(spark, root, kept)
+        documents, broken, text = files.load(spark, root, kept)
         warnings += [*more, *((r["path"], r["message"]) for r in broken.collect())]
-        return cls(documents, [{"path": p, "message": m} for p, m in warnings], rules.identity())
+        return cls(documents, [{"path": p, "message": m} for p, m in warnings], rules.identity(), (text,))
 
     # -- shared parts of responses
 
@@ -74,8 +86,7 @@ class Project:
         return wanted
 
     def _no_limit(self, documents: DataFrame) -> None:
-        hit = self.events.where("kind = 'limit'").join(documents.select("id"), "id").first()
-        if hit:
+        if not self._outlines(documents).where("over").isEmpty():
             raise QueryError("ANCHOR_LIMIT", f"At most {scan.MAX_ANCHORS} headings and explicit anchors are supported per document")
 
     # -- commands
@@ -132,7 +143,7 @@ class Project:
             cut = lines.passages(scope)
             if cut.count() > PASSAGES:
                 raise QueryError("SEARCH_LIMIT", f"At most {PASSAGES} source passages can be indexed; narrow selected sources", {"limit": PASSAGES})
-            parts = structure.sections(self.heads.join(scope.select("id"), "id"), scope, self.lines)
+            parts = structure.unfolded(self._outlines(scope), "sections")
             best = ranking.distinct_ranges(structure.with_context(ranking.hits(cut, query), parts)).join(scope.select("id", "ord"), "id").persist()
             total = best.count()
             page = ranking.top(best, limit, start, "ord")
@@ -152,9 +163,8 @@ class Project:
                 "document": m["document"], "from": m["lineStart"], "to": m["lineEnd"], "context": {"from": m["context"]["lineStart"], "to": m["context"]["lineEnd"]}}))
 
     def _edges(self, declaring: DataFrame) -> DataFrame:
-        near = declaring.select("id")
-        declared = relations.declarations(self.heads.join(near, "id"), self.lines.join(near, "id"))
-        return relations.edges(declared, self.documents, self.marks, self.counts).join(self.documents.select("id", "ord", "hash", "historical"), "id")
+        declared = relations.declarations(structure.unfolded(self._outlines(declaring), "entries"))
+        return relations.edges(declared, relations.targets(self.outlines)).join(self.documents.select("id", "ord", "hash", "historical"), "id")
 
     @staticmethod
     def _fault(row: Any) -> QueryError:
@@ -206,12 +216,12 @@ class Project:
 
     def _references(self, scope: DataFrame) -> DataFrame:
         """Local references of documents, resolved: (id, line, seq, target, error)."""
-        links = self.events.where("kind = 'link'").join(scope.select("id"), "id").select("id", "line", "seq", F.col("value").alias("raw"))
+        links = structure.unfolded(self._outlines(scope), "links").withColumnRenamed("target", "raw")
         path = F.regexp_extract("raw", r"^[^#?]*", 0)
         local = links.where((F.col("raw") != "") & ~F.col("raw").startswith("//") & ~has_scheme(F.col("raw")) & ((path == "") | is_markdown(F.coalesce(percent_decoded(path), path))))
         before = F.regexp_extract("raw", r"^[^#]*", 0)
         target = F.concat(F.regexp_extract(before, r"^[^?]*", 0), F.regexp_extract("raw", r"#.*$", 0))
-        return relations.resolved(local.withColumn("target", target), self.documents, self.marks, self.counts)
+        return relations.resolved(relations.aimed(local.withColumn("target", target)), relations.targets(self.outlines))
 
     def check(self, sources: list[str] = (), historical: bool = False, limit: int | None = None, max_bytes: int | None = None, cursor: str | None = None) -> dict:
         limit = paging.count_argument("limit", limit, 20, 2_048)

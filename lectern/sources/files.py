@@ -182,7 +182,7 @@ def collated(spark: SparkSession, names: list[str]) -> dict[str, int]:
     """Places of names in the order of listings."""
     if not names:
         return {}
-    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(F.collate("n", "UNICODE"), "n").collect()  # as many as DOCUMENTS at most after the cap
+    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(F.collate("n", "UNICODE"), "n").collect()  # names only, of all files found: the cap takes the first of them in this order
     return {r["n"]: k for k, r in enumerate(rows)}
 
 
@@ -207,8 +207,8 @@ def described(documents: DataFrame) -> DataFrame:
     return got.select("id", "title", "status", resolved.alias("links"))
 
 
-def load(spark: SparkSession, root: str, files: list[tuple[str, bool, int]]) -> tuple[DataFrame, DataFrame]:
-    """(documents, warnings): id, text, hash, historical, title, status, links; bytes that aren't UTF-8 give a warning instead."""
+def load(spark: SparkSession, root: str, files: list[tuple[str, bool, int]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, warnings, the persisted texts behind both): id, text, hash, historical, title, status, links; bytes that aren't UTF-8 give a warning instead."""
     names = spark.createDataFrame([(f"file:{root}/{p}", p, old) for p, old, _ in files], "file string, id string, historical boolean")
     if not files:
         text = names.select("id", F.lit("").alias("text"), "historical", F.lit(True).alias("ok"))
@@ -220,4 +220,4 @@ def load(spark: SparkSession, root: str, files: list[tuple[str, bool, int]]) ->
     text = text.persist()
     good = text.where("ok").drop("ok")
     documents = good.join(described(good), "id").withColumn("hash", version(F.col("text")))
-    return documents, text.where("not ok").select(F.col("id").alias("path"), F.lit("Markdown source is not valid UTF-8").alias("message"))
+    return documents, text.where("not ok").select(F.col("id").alias("path"), F.lit("Markdown source is not valid UTF-8").alias("message")), text

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.errors import QueryError
 from lectern.functions import text as X
 from lectern.operators import lines, metadata, ranking, scan, structure
-from lectern.sources.globs import Glob
+from lectern.sources.globs import any_of
 
 
 def one(spark, expression, **values):
@@ -59,7 +59,7 @@ def test_query_terms():
     ("*.md", "a.md", True), ("*.md", "d/a.md", False), ("**/*.md", "a.md", True), ("**/*.md", "d/e/a.md", True), ("docs/**", "docs/a/b", True), ("docs/**", "docs", False),
     ("{a,b}/?.md", "b/x.md", True), ("[!a]x.md", "bx.md", True), ("[!a]x.md", "ax.md", False), ("!a.md", "b.md", True), ("!!a.md", "a.md", True), ("a.b", "aXb", False)])
 def test_globs(glob, path, want):
-    assert Glob(glob).matches(path) is want
+    assert bool(any_of([glob]).fullmatch(path)) is want
 
 
 def test_ranking_as_the_database_library(spark):
@@ -136,3 +136,57 @@ def test_strict_headers(header, message):
 def test_report_is_bounded():
     out = QueryError("C", "é" * 400, {"x": "y" * 500}).report()["error"]
     assert len(out["message"].encode()) == 254 and out["messageTruncated"] and out["details"] == {"omitted": True}
+
+
+TABLES = """# Top
+
+Name | Link
+:--- | ---:
+`a\\|b` | [plain](one.md)
+[x|y](two.md)
+[bar \\| in](three.md) | `z|z` | [beyond](beyond.md)
+[out](four.md) | y | [beyond](five.md)
+
+| lone |
+|---|
+| [six](six.md) |
+para [seven](seven.md)
+
+no | table
+[eight](eight.md)
+
+See[^note] and [^other] and [^gone].
+
+[^note]: Text [nine](nine.md)
+    more [ten](ten.md)
+
+    ## Inside
+
+[^other]: [eleven](eleven.md)
+~~[twelve](twelve.md)~~ end
+
+- [ ] [task](task.md)
+- [x] done
+"""
+
+
+def test_tables_footnotes_and_strikethrough():
+    doc = scan.parse(TABLES)
+    assert [d for d, _ in doc.links] == ["one.md", "three.md", "four.md", "six.md", "seven.md", "eight.md", "nine.md", "ten.md", "eleven.md", "twelve.md", "task.md"]
+    assert all(TABLES[k] == "[" for _, k in doc.links)
+    assert [h[3] for h in doc.headings] == ["Top"]
+    assert scan.parse("# A[^1] b\n\n[^1]: x\n").title == "A b" and scan.parse("# A[^1] b\n").title == "A[^1] b"
+
+
+def test_outline_of_large_documents(spark):
+    many = "# h\n" * 20_000
+    rows = [("blank", "\n" * 1_000_000), ("heads", many), ("long", "# " + "x" * (512 << 10) + "\n" + "line\n" * 70_000), ("over", "# h\n" * 32_769), ("null", None)]
+    got = {r["id"]: r for r in structure.outline(spark.createDataFrame(rows, "id string, text string")).collect()}
+    assert got["blank"]["lines"] == 1_000_000 and got["over"]["over"] and not got["over"]["marks"] and got["null"]["lines"] == 1
+    assert got["heads"]["marks"][-1]["anchor"] == "h-19999" and got["long"]["sections"][0]["line_end"] == 70_001
+
+
+def test_anchors_of_one_name_and_of_markup(spark):
+    text = "# A\n<!-- <a id=\"no\"></a> -->\n<script>\n<a id=\"no2\"></a>\n</script>\n\n<a id=\"x\"></a>\n\n## A\n\n## a-1\n\ntext <a id=\"x\"></a>\n"
+    marks = [tuple(m) for m in structure.outline(spark.createDataFrame([("d", text)], "id string, text string")).first()["marks"]]
+    assert marks == [("a", 1, 13, None), ("x", 7, 10, None), ("a-1", 9, 10, None), ("a-1-1", 11, 13, None), ("x", 13, 13, 7)]
