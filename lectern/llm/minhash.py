@@ -209,8 +209,8 @@ def links(docs: DataFrame, reps: DataFrame, known: DataFrame, k: int, percent: i
     spark, least, sets = docs.sparkSession, least_matches(percent), Sets(docs, k, id_col, text_col)
     prefix = cut(prefixes(reps, least).join(reps.select("id", "g", "n"), ["id", "g"]))
     posted = prefix.select("id", "g", "n", F.explode("tokens").alias("token"))
-    heads = posted.groupBy("token").agg(F.min(F.struct("id", "g", "n")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = posted.join(heads, "token").where("not (id = h.id and g = h.g)").select("token", "id", "g", "n", F.col("h.id").alias("head"), F.col("h.g").alias("head_g"), F.col("h.n").alias("head_n"), "c")
+    heads = cut(posted.groupBy("token").agg(F.min(F.struct("id", "g", "n")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1"))
+    members = heavy_join(posted, heads, "token", "c").where("not (id = h.id and g = h.g)").select("token", "id", "g", "n", F.col("h.id").alias("head"), F.col("h.g").alias("head_g"), F.col("h.n").alias("head_n"), "c")
     near = f"id <> head and 100 * least(n, head_n) >= {percent} * greatest(n, head_n)"
     pairs = members.where(near).groupBy("id", "g", "head", "head_g").agg(F.max("c").alias("c"))
     first = cut(met_heads(pairs, sets, least, percent).unionByName(known))
@@ -221,7 +221,7 @@ def links(docs: DataFrame, reps: DataFrame, known: DataFrame, k: int, percent: i
     lists = cut(joined.join(open_, "token"))
     if lists.isEmpty():
         return first
-    return first.unionByName(met_in_lists(lists, sets, least, percent))
+    return cut(first.unionByName(met_in_lists(lists, sets, least, percent)))  # before Python contracts them: one worker a task
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
