@@ -14,6 +14,8 @@ SPACE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SCRIPT_SPACE = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Punctuation that a heading's slug drops. Fixed values.
 SLUG_DROPS = "!\"#$%&'()*+,./:;<=>?@[\\]^`{|}~"
+#: Letters and digits, as a Java character class body.
+WORD = r"a-z0-9\p{L}\p{N}"
 MARKDOWN = r"(?i)\.(md|markdown|mdown)$"
 
 
@@ -23,6 +25,16 @@ def raw_lines(text: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
 
 
+def line_windows(text: Column, size: int) -> Column:
+    """Runs of ``size`` lines, the last one perhaps shorter, by one match each; no array of lines is made. An empty text has none."""
+    line = r"[^\r\n]*+(?>\r\n|\r|\n)"
+    return F.regexp_extract_all(text, F.lit(rf"(?:{line}){{{size}}}|(?:{line}){{0,{size - 1}}}+[^\r\n]++|(?:{line}){{1,{size}}}"), F.lit(0))
+
+
+def line_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[^\r\n]*+(?>\r\n|\r|\n)|[^\r\n]++"))
+
+
 def without_ending(line: Column) -> Column:
     return F.regexp_replace(line, r"(\r\n|\r|\n)\z", "")
 
@@ -59,8 +71,21 @@ def fold(term: str) -> str:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits of the folded text, in order."""
-    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits of the folded text, in order. Runs are taken first, with marks between their letters, and only those that aren't ASCII are folded."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}][{WORD}\p{{Mn}}]*"), F.lit(0))
+    return F.transform(runs, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(F.translate(t, _WITH, _WITHOUT), r"\p{Mn}", "")))
+
+
+def token_count(lower: Column) -> Column:
+    """Number of tokens of a lower-case text, without folding them."""
+    return F.regexp_count(lower, F.lit(rf"[{WORD}][{WORD}\p{{Mn}}]*+"))
+
+
+def term_count(lower: Column, term: str) -> Column:
+    """How many tokens of a lower-case text fold to ``term``, without folding any: each letter matches with and without its marks."""
+    letters = ["[" + c + "".join(a for a, b in zip(_WITH, _WITHOUT, strict=True) if b == c) + "]" for c in term]
+    before = rf"(?<![{WORD}]\p{{Mn}}{{0,8}}{letters[0]})"
+    return F.regexp_count(lower, F.lit(letters[0] + before + r"\p{Mn}*+" + "".join(x + r"\p{Mn}*+" for x in letters[1:]) + rf"(?![{WORD}])"))
 
 
 def query_terms(query: str) -> list[str]:

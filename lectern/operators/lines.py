@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import SPACE, raw_lines, without_ending
+from lectern.functions.text import SPACE, line_count, line_windows, raw_lines, without_ending
 
-WINDOW_LINES = 32
+WINDOW_LINES, SUMMED = 32, 256
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -32,16 +32,27 @@ def read_range(documents: DataFrame, first: int, last: int) -> DataFrame:
     return part.select("id", end.alias("line_end"), F.when(end == F.size("l"), body).otherwise(without_ending(body)).alias("text"))
 
 
+def starts(sizes: Column) -> Column:
+    """Sums of all elements before each one, in two levels: by blocks of SUMMED, and inside a block."""
+    add = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / SUMMED)), lambda j: add(F.slice(sizes, j.cast("int") * SUMMED + 1, F.lit(SUMMED))))
+    # bound by an aggregation over one element, so that each level is worked out once
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    before = lambda b: F.transform(b, lambda _, j: add(F.slice(b, F.lit(1), j)))
+    inside = lambda o: F.transform(sizes, lambda _, k: F.get(o, F.floor(k / SUMMED).cast("int")) + add(F.slice(sizes, F.floor(k / SUMMED).cast("int") * SUMMED + 1, k % SUMMED)))
+    return F.when(F.size(sizes) > 0, once(blocks, lambda b: once(before(b), inside)))
+
+
 def passages(documents: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
     """Tumbling windows of ``size`` lines that hold more than white space: (id, first_line, last_line, first_byte, last_byte, content).
 
-    Windows are slices of the array of lines, so building them shuffles nothing.
+    A window is one match of a pattern, and carries nothing of the others, so work and memory are linear in the text; building windows shuffles nothing.
     """
-    own = documents.select("id", raw_lines(F.col("text")).alias("l"))
-    cut = own.select("id", "l", F.explode(F.sequence(F.lit(1), F.size("l"), F.lit(size))).alias("first_line"))
-    content = F.array_join(F.slice("l", F.col("first_line"), F.lit(size)), "")
-    before = F.array_join(F.slice("l", F.lit(1), F.col("first_line") - 1), "")
-    return cut.select("id", "first_line", F.least(F.col("first_line") + (size - 1), F.size("l")).alias("last_line"),
-                      F.octet_length(before).cast("long").alias("first_byte"), content.alias("content")).select(
-        "id", "first_line", "last_line", "first_byte", (F.col("first_byte") + F.octet_length("content")).alias("last_byte"), "content").where(
-        F.col("content").rlike(rf"[^{SPACE}]"))
+    cut = documents.select("id", line_windows(F.col("text"), size).alias("w"))
+    sized = cut.select("id", "w", F.transform("w", lambda x: F.octet_length(x).cast("long")).alias("z"))
+    whole = F.transform("z", lambda _, k: k + 1 < F.size("z"))  # inside each element: a size taken later would carry the array along with every window
+    placed = sized.select("id", F.posexplode(F.arrays_zip(F.col("w").alias("content"), starts(F.col("z")).alias("first_byte"), whole.alias("whole"))).alias("k", "x"))
+    content, first = F.col("x.content"), F.col("k") * size + 1
+    last = F.when(F.col("x.whole"), F.col("k") * size + size).otherwise(F.col("k") * size + line_count(content))
+    return placed.where(content.rlike(rf"[^{SPACE}]")).select("id", first.alias("first_line"), last.alias("last_line"), F.col("x.first_byte").alias("first_byte"),
+                                                               (F.col("x.first_byte") + F.octet_length(content)).alias("last_byte"), content.alias("content"))

@@ -190,3 +190,35 @@ def test_anchors_of_one_name_and_of_markup(spark):
     text = "# A\n<!-- <a id=\"no\"></a> -->\n<script>\n<a id=\"no2\"></a>\n</script>\n\n<a id=\"x\"></a>\n\n## A\n\n## a-1\n\ntext <a id=\"x\"></a>\n"
     marks = [tuple(m) for m in structure.outline(spark.createDataFrame([("d", text)], "id string, text string")).first()["marks"]]
     assert marks == [("a", 1, 13, None), ("x", 7, 10, None), ("a-1", 9, 10, None), ("a-1-1", 11, 13, None), ("x", 13, 13, 7)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 32])
+def test_passages_as_slices_of_lines(spark, size):
+    texts = ["", "a", "a\n", "\r\n\r\n\rx\n", "é\r\nb\n" * 50, "x\r" * 33 + "y", "a\n \n" * 16, "\n" * 64 + "z", "w\r\n" * 64, "q\n" * 700 + "é" * 3]
+    want = []
+    for i, t in enumerate(texts):
+        ls = re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", t)
+        for k in range(0, len(ls), size):
+            content = "".join(ls[k:k + size])
+            if content.strip():
+                at = len("".join(ls[:k]).encode())
+                want.append((str(i), k + 1, min(k + size, len(ls)), at, at + len(content.encode()), content))
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("null", None)], "id string, text string")
+    assert sorted(map(tuple, lines.passages(docs, size).collect())) == sorted(want)
+
+
+def test_passages_of_a_document_of_a_million_lines(spark):
+    docs = spark.createDataFrame([("blank", "\n" * 16_000_000), ("long", "some words\n" * 1_000_000), ("short", "words\n")], "id string, text string")
+    got = lines.passages(docs).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("last_byte").alias("end"), F.max("last_line").alias("last")).collect()
+    assert {tuple(r) for r in got} == {("long", 31_250, 11_000_000, 1_000_000), ("short", 1, 6, 1)}
+
+
+def test_counts_of_terms_as_counts_of_tokens(spark):
+    texts = ["Création creation CREÁTION re-création créatioń recreation creations", "éa ea éa x́ ́ea eá", "Ærø 12a 12A ①", "ẞ ß İi ǆ", "", "naïve naive naïve naïves"]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    for term in ("creation", "ea", "12a", "naive", "x", "ærø"):
+        folded = X.fold(term)
+        low = F.lower("text")
+        rows = docs.select(F.size(F.filter(X.tokens(F.col("text")), lambda t: t == F.lit(folded))), X.term_count(low, folded), F.size(X.tokens(F.col("text"))), X.token_count(low)).collect()
+        assert all(r[0] == r[1] and r[2] == r[3] for r in rows), (term, rows)
+    assert sum(r[0] for r in docs.select(X.term_count(F.lower("text"), "creation")).collect()) == 5
