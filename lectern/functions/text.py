@@ -148,3 +148,15 @@ def kebab_tags(tags: Column) -> Column:
 def code_units(text: Column) -> Column:
     """A sort key by UTF-16 code units."""
     return F.hex(F.encode(text, "UTF-16BE"))
+
+
+def release(text: Column) -> Column:
+    """MAJOR.MINOR.PATCH as comparable numbers of 64 bits; null for anything else."""
+    parts = [F.regexp_extract(text, r"^\+?([0-9]+)\.\+?([0-9]+)\.\+?([0-9]+)\z", k) for k in (1, 2, 3)]
+    numbers = [F.expr("18446744073709551615BD") >= p.try_cast("decimal(38,0)") for p in parts]
+    return F.when(numbers[0] & numbers[1] & numbers[2], F.struct(*[p.try_cast("decimal(20,0)").alias(n) for p, n in zip(parts, ("major", "minor", "patch"), strict=True)]))
+
+
+def civil_date(days: Column) -> Column:
+    """The calendar date so many days after 1970-01-01, as YYYY-MM-DD."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")), "yyyy-MM-dd")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import fold, query_terms, term_count, token_count, tokens
+from lectern.functions.text import fold, query_terms, raw_lines, term_count, token_count, tokens, without_ending
 
 #: The ranking function's usual parameters, and the least weight of a term that half of the passages or more hold.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -61,3 +61,10 @@ def distinct_ranges(found: DataFrame) -> DataFrame:
 def top(found: DataFrame, limit: int, offset: int = 0, *order: str) -> DataFrame:
     """A page of hits by score, rounded so that summation order can't decide, then document and line."""
     return found.orderBy(F.round("score", 12), *(order or ("id",)), "first_line").offset(offset).limit(limit)
+
+
+def with_text(page: DataFrame, documents: DataFrame) -> DataFrame:
+    """A page of hits with the text of their ranges, joined late; only a document's own last line keeps its ending."""
+    shown = page.join(documents.select("id", "text", "hash", "historical"), "id")
+    text = F.array_join(F.slice(raw_lines(F.col("text")), F.col("range_first"), F.col("range_last") - F.col("range_first") + 1), "")
+    return shown.withColumn("_text", F.when(F.col("range_last") == F.size(raw_lines(F.col("text"))), text).otherwise(without_ending(text))).drop("text")

@@ -12,16 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.errors import QueryError
-from lectern.functions.text import has_scheme, is_markdown, percent_decoded, query_terms, raw_lines
-from lectern.operators import identity, lines, metadata, paging, ranking, relations, scan, structure
+from lectern.functions.text import query_terms, raw_lines
+from lectern.operators import checks, identity, lines, metadata, paging, ranking, relations, scan, structure
 from lectern.sources import files
 
 SAFE, QUERY_BYTES, PASSAGES, REFERENCES, FINDINGS, RETAINED = (1 << 53) - 1, 4_096, 32_768, 32_768, 2_048, 65_536
 
-#: Faults that lie in the document an edge points at, not in the one that declares it.
-AT_TARGET = ("Invalid anchor encoding", "Document contains a duplicate anchor", "Relation anchor does not exist")
-
-
 def _target_details(row: Any) -> dict:
     clash = row["clashing"]
     if clash is not None and row["error"]["code"] == "AMBIGUOUS_ANCHOR":
@@ -136,7 +132,7 @@ class Project:
         at = paging.Cursor.of("q2", ["context-v1", self.snapshot, query, asked, historical, limit, most])
         start = at.offset(cursor)
         self._known(asked, "Search requires selected source IDs")
-        scope = self.documents.where(F.col("id").isin(asked)) if asked else self.documents if historical else self.documents.where("not historical")
+        scope = checks.searched(self.documents, asked, historical)
         rows, total = [], 0
         if query_terms(query):
             self._no_limit(scope)
@@ -147,10 +143,7 @@ class Project:
             best = ranking.distinct_ranges(structure.with_context(ranking.hits(cut, query), parts)).join(scope.select("id", "ord"), "id").persist()
             total = best.count()
             page = ranking.top(best, limit, start, "ord")
-            shown = page.join(scope.select("id", "text", "hash", "historical"), "id")
-            text = F.array_join(F.slice(raw_lines(F.col("text")), F.col("range_first"), F.col("range_last") - F.col("range_first") + 1), "")
-            whole = F.col("range_last") == F.size(raw_lines(F.col("text")))
-            rows = shown.withColumn("_text", F.when(whole, text).otherwise(lines.without_ending(text))).orderBy(F.round("score", 12), "ord", "first_line").collect()  # 64 at most
+            rows = ranking.with_text(page, scope).orderBy(F.round("score", 12), "ord", "first_line").collect()  # 64 at most
             best.unpersist()
         paging.inside(start, total)
         found = [{"document": r["id"], "version": r["hash"], "historical": r["historical"], "lineStart": r["range_first"], "lineEnd": r["range_last"], "text": r["_text"],
@@ -169,7 +162,7 @@ class Project:
     @staticmethod
     def _fault(row: Any) -> QueryError:
         f = row["fault"]
-        if f["message"] in AT_TARGET:
+        if f["message"] in checks.AT_TARGET:
             details = {"document": row["id"], "line": row["line"], "target": row["target"], "targetDetails": _target_details(row)}
         else:
             details = {"document": row["id"], "line": row["line"], "version": row["hash"]} | ({"cause": f["cause"]} if f["cause"] else {})
@@ -184,8 +177,7 @@ class Project:
         most = paging.count_argument("max-bytes", max_bytes, paging.DEFAULT_BYTES, paging.MOST_BYTES)
         if document not in self.ids:
             raise QueryError("SOURCE_NOT_FOUND", "Relations require a selected document ID")
-        own = F.col("id") == document
-        declaring = self.documents.where(own if direction == "outgoing" else own | ~F.col("historical"))
+        declaring = checks.declaring(self.documents, document, direction)
         self._no_limit(declaring)
         rows = self._edges(declaring).persist()
         ahead = Window.orderBy("ord", "line").rowsBetween(Window.unboundedPreceding, 0)
@@ -214,15 +206,6 @@ class Project:
             "status": self.status, "coverage": self._coverage(), "relations": p, "totalRelations": total, "warnings": self.warnings, "continuation": at.after(start + len(p), total)},
             lambda _: QueryError("OUTPUT_LIMIT", "The next complete relation exceeds --max-bytes; increase it within 65536"))
 
-    def _references(self, scope: DataFrame) -> DataFrame:
-        """Local references of documents, resolved: (id, line, seq, target, error)."""
-        links = structure.unfolded(self._outlines(scope), "links").withColumnRenamed("target", "raw")
-        path = F.regexp_extract("raw", r"^[^#?]*", 0)
-        local = links.where((F.col("raw") != "") & ~F.col("raw").startswith("//") & ~has_scheme(F.col("raw")) & ((path == "") | is_markdown(F.coalesce(percent_decoded(path), path))))
-        before = F.regexp_extract("raw", r"^[^#]*", 0)
-        target = F.concat(F.regexp_extract(before, r"^[^?]*", 0), F.regexp_extract("raw", r"#.*$", 0))
-        return relations.resolved(relations.aimed(local.withColumn("target", target)), relations.targets(self.outlines))
-
     def check(self, sources: list[str] = (), historical: bool = False, limit: int | None = None, max_bytes: int | None = None, cursor: str | None = None) -> dict:
         limit = paging.count_argument("limit", limit, 20, 2_048)
         most = paging.count_argument("max-bytes", max_bytes, paging.DEFAULT_BYTES, paging.MOST_BYTES)
@@ -230,27 +213,14 @@ class Project:
         at = paging.Cursor.of("v2", [self.snapshot, asked, historical, limit, most])
         start = at.offset(cursor)
         self._known(asked, "Validation requires selected source IDs")
-        docs = metadata.is_documentation(F.col("id"))
-        scope = self.documents.where(F.col("id").isin(asked)) if asked else self.documents.where(F.lit(historical) | ~F.col("historical") | docs)
-        bodies = scope.where(F.lit(historical or bool(asked)) | ~F.col("historical"))
-        counted = scope.agg(F.count(F.lit(1)), F.count_if(docs)).first()
+        scope = checks.checked(self.documents, asked, historical)
+        bodies = checks.bodies(scope, asked, historical)
+        counted = scope.agg(F.count(F.lit(1)), F.count_if(metadata.is_documentation(F.col("id")))).first()
         checked_bodies = bodies.count()
-        meta = metadata.findings(scope).select("id", F.lit(0).alias("phase"), "ord", F.to_json(F.struct(
-            F.lit("INVALID_METADATA").alias("code"), "line", "column", "field", "message"), {"ignoreNullFields": "false"}).alias("j"))
-        first = Window.partitionBy("id").orderBy("line")
-        edge = self._edges(bodies).where("fault is not null").withColumn("r", F.row_number().over(first)).where("r = 1").select("id", F.lit(1).alias("phase"), F.lit(0).alias("ord"), F.to_json(F.struct(
-            F.col("fault.code").alias("code"), F.col("fault.message").alias("message"), F.struct("line", F.col("fault.cause").alias("cause")).alias("details")), {"ignoreNullFields": "false"}).alias("j"))
-        refs = self._references(bodies).persist()
+        refs = checks.references(self._outlines(bodies), relations.targets(self.outlines)).persist()
         if refs.count() > REFERENCES:
             raise QueryError("CHECK_LIMIT", f"At most {REFERENCES} local Markdown references can be validated; narrow source selection")
-        code = F.when(F.col("error.code") == "INVALID_RELATION", "INVALID_REFERENCE").otherwise(F.col("error.code"))
-        there = F.col("error.message").isin(*AT_TARGET)
-        details = F.when(F.col("error.code") == "AMBIGUOUS_ANCHOR", F.to_json(F.struct(
-            F.col("clashing.anchor").alias("anchor"), F.lit("the same anchor ID names more than one target section").alias("cause"), F.col("clashing.clash").alias("firstLine"), F.col("clashing.line_start").alias("line")))).otherwise(
-            F.to_json(F.struct(F.when(there, F.col("to_id")).otherwise(F.col("id")).alias("document"), F.when(there, 1).otherwise(F.col("line")).alias("line"), F.when(there, F.col("to_version")).otherwise(F.col("hash")).alias("version"))))
-        lost = refs.where("error is not null").join(self.documents.select("id", "hash"), "id").select("id", F.lit(2).alias("phase"), F.col("seq").alias("ord"), F.to_json(F.struct(
-            "line", F.col("raw").alias("target"), code.alias("code"), F.col("error.message").alias("message"), F.parse_json(details).alias("details")), {"ignoreNullFields": "false"}).alias("j"))
-        found = meta.unionByName(edge).unionByName(lost).join(self.documents.select("id", F.col("ord").alias("doc_ord"), "hash"), "id").persist()
+        found = checks.findings(scope, self._edges(bodies), refs).join(self.documents.select("id", F.col("ord").alias("doc_ord"), "hash"), "id").persist()
         total = found.count()
         if total > FINDINGS:
             raise QueryError("CHECK_LIMIT", f"Validation exceeds {FINDINGS} findings; narrow source selection")
@@ -258,7 +228,7 @@ class Project:
         rows = found.orderBy("doc_ord", "phase", "ord").offset(start).limit(limit).collect()
         found.unpersist()
         refs.unpersist()
-        records = [{"document": r["id"], "version": r["hash"]} | json.loads(r["j"]) for r in rows]
+        records = [{"document": r["id"], "version": r["hash"]} | json.loads(r["finding"]) for r in rows]
         status = "failed" if total else self.status
         return paging.page(records, most, lambda p: self._head("check") | {
             "status": status, "coverage": self._coverage(), "sources": asked, "historical": historical, "checkedDocuments": counted[0], "checkedMetadataDocuments": counted[1],

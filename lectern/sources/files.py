@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.errors import QueryError
@@ -64,6 +64,12 @@ class Selection:
         return json.dumps({"include": units(self.include), "exclude": units(self.exclude), "archive": units(self.archive)}, ensure_ascii=False, separators=(",", ":"))
 
 
+def classified(path: Column, rules: Selection) -> Column:
+    """The same for a column of paths: true, false or, if a path isn't selected, null. Java and Python read the patterns alike."""
+    whole = lambda pattern: path.rlike(rf"(?s)\A(?:{pattern.pattern})\z")
+    return F.when(~path.rlike(r"(?i)\.(md|markdown|mdown)\z") | whole(rules.excluded), F.lit(None)).when(whole(rules.archived), True).when(whole(rules.included), False)
+
+
 def root_folder(root: str) -> str:
     if not root.strip().strip("\ufeff").strip():
         raise QueryError("INVALID_ROOT", "Project root must be a non-empty path")

@@ -62,7 +62,7 @@ def any_of(globs: list[str]) -> re.Pattern:
     for g in globs:
         bare = g.lstrip("!")
         (turned if (len(g) - len(bare)) % 2 else plain).append(regex(bare))
-    return re.compile("|".join([*(f"(?:{x})" for x in plain), *(f"(?!(?:{x})\\Z).*" for x in turned)]) or "(?!)", re.S)
+    return re.compile("|".join([*(f"(?:{x})" for x in plain), *(rf"(?!(?:{x})(?![\s\S])).*" for x in turned)]) or "(?!)", re.S)
 
 
 def named_folders(globs: list[str]) -> re.Pattern:
