@@ -391,3 +391,21 @@ def drop_lines(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text
     same = (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(text))
     return docs.join(gone, same, "left").select(*[
         F.when(F.col(numbers).isNull(), F.col(c)).otherwise(new[c].cast(docs.schema[c].dataType)).alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+#: DuckDB: all pairs of lines of like length. Its distance counts bytes, so letters of the tables' languages beyond ASCII stand as single bytes.
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS ln, trim(unnest(l), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM t),
+p AS (SELECT doc_id, ln, x FROM e WHERE x <> ''),
+d AS (SELECT x, translate(x, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', array_to_string([chr(c) FOR c IN [1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26]], '')) AS b, length(x) AS n FROM p GROUP BY x HAVING length(x) >= 24),
+h AS (SELECT q.x AS a, r.x AS b FROM d q JOIN d r ON r.n BETWEEN q.n - 2 AND q.n + 2 AND q.x <> r.x AND abs(strlen(q.b) - strlen(r.b)) <= 2 WHERE levenshtein(q.b, r.b) <= 2),
+reach AS (SELECT a AS x, b AS other FROM h UNION SELECT reach.x, h.b FROM reach JOIN h ON h.a = reach.other),
+m AS (SELECT x, least(x, min(other)) AS class FROM reach GROUP BY x),
+z AS (SELECT doc_id, ln, p.x, coalesce(class, p.x) AS class FROM p LEFT JOIN m ON m.x = p.x),
+f AS (SELECT *, first_value(doc_id) OVER w AS d1, first_value(ln) OVER w AS a1 FROM z WINDOW w AS (PARTITION BY class ORDER BY doc_id, ln)),
+k AS (SELECT a AS x, count(*) AS links FROM h GROUP BY a),
+o AS (SELECT f.doc_id, count(*) AS n_lines, sum(coalesce(links, 0)) AS n_links, count(*) FILTER (NOT (d1 = f.doc_id AND a1 = ln)) AS n_removed,
+  string_agg(ln || '=' || d1 || '/' || a1 || '+' || coalesce(links, 0), ' ' ORDER BY ln) AS line_classes FROM f LEFT JOIN k ON k.x = f.x GROUP BY f.doc_id)
+SELECT t.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(line_classes, '') AS line_classes FROM t LEFT JOIN o ON o.doc_id = t.doc_id
+"""

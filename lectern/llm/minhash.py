@@ -239,3 +239,20 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     out = own.unionByName(rest).groupBy("id").agg(F.min("n").alias("n_shingles"), F.min(F.least("of_set", "id")).alias("component_id"))
     nameless = base.where("id is null").select("id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return out.select("id", "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept")).unionByName(nameless).withColumnRenamed("id", id_col)
+
+
+#: DuckDB: all pairs of documents with a shingle in common, on full sets.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS p, len(l) AS n FROM w),
+k AS (SELECT doc_id, p, n, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS t FROM e),
+s AS (SELECT DISTINCT doc_id, t FROM k WHERE p + 2 <= n OR p = 1),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+h AS (SELECT a, b FROM c JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+u AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+reach AS (SELECT a AS doc_id, b AS other FROM u UNION SELECT reach.doc_id, u.b FROM reach JOIN u ON u.a = reach.other),
+m AS (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.least, w.doc_id)) AS component_id, coalesce(m.least, w.doc_id) >= w.doc_id AS kept
+FROM w LEFT JOIN z ON z.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id
+"""

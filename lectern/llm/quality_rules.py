@@ -208,3 +208,17 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float
     out = measured.join(cuts, F.col("stratum").eqNullSafe(F.col("of")), "left").withColumn("broken", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(broken))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken", "stratum", "n_lines", "n_upper_words")
+
+
+#: DuckDB: counts and the base rule.
+BASE_ORACLE = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS p, len(l) AS n FROM w),
+k AS (SELECT doc_id, p, n, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS t FROM e),
+r AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, t) AS o FROM k WHERE p + 7 <= n),
+c AS (SELECT doc_id, count(DISTINCT q) AS repeated FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM r WHERE o > 1) GROUP BY doc_id),
+d AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^ \t-\r]') GROUP BY doc_id)
+SELECT w.doc_id, len(l)::BIGINT AS n_words, length(array_to_string(l, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+       coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(repeated, 0)::BIGINT AS n_repeat_words, len(l) < 20 OR 100 * coalesce(repeated, 0) > 30 * len(l) AS base_failed
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN d ON d.doc_id = w.doc_id
+"""

@@ -34,8 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document with the classes they fall in."""
-    return line_dedup.line_classes(read_table(spark, sf_dir, "documents"))
+    """Lines of every document with the classes they fall in: line_classes has number=document/number of the class's first line+links for each line, in order."""
+    found = line_dedup.line_classes(read_table(spark, sf_dir, "documents"))
+    each = F.transform(F.arrays_zip("lines", "classes", F.col("links")), lambda x: F.concat(x["lines"], F.lit("="), x["classes"]["doc"], F.lit("/"), x["classes"]["line"], F.lit("+"), x["links"]))
+    return found.select("doc_id", "n_lines", "n_links", "n_removed", F.array_join(each, " ").alias("line_classes"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +71,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_token_counts, op4_toxicity, op5_line_dedup, op6_minhash, op7_bpe, op8_mixing, op9_voronoi_knn, op10_sharding)}
-ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE, "op9_voronoi_knn": knn.ORACLE, "op10_sharding": sharding.ORACLE}
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and base rule of the quality rules, which SQL can express; the verdict it can't."""
+    return quality_rules.measure(read_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_token_counts, op4_toxicity, op5_line_dedup, op6_minhash, op7_bpe, op8_mixing, op9_voronoi_knn, op10_sharding, quality_base)}
+ORACLE: dict[str, str] = {"op1_substring_dedup": substring_dedup.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op6_minhash": minhash.ORACLE, "op8_mixing": mixing.ORACLE, "op9_voronoi_knn": knn.ORACLE,
+                          "op10_sharding": sharding.ORACLE, "quality_base": quality_rules.BASE_ORACLE}

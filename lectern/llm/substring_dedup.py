@@ -301,3 +301,15 @@ def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     return remove(docs, repeats(docs, id_col, text_col), id_col, text_col, with_text)
+
+
+#: DuckDB: all windows of all documents compared.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS p, len(l) AS n FROM w),
+k AS (SELECT doc_id, p, n, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS t FROM e),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY t ORDER BY doc_id, p) AS o FROM k WHERE p + 19 <= n),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM r WHERE o > 1),
+g AS (SELECT e.doc_id, count(c.p) AS gone, string_agg(x, ' ' ORDER BY e.p) FILTER (c.p IS NULL) AS kept FROM e LEFT JOIN c ON c.doc_id = e.doc_id AND c.p = e.p GROUP BY e.doc_id)
+SELECT w.doc_id, len(l)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+"""
