@@ -4,7 +4,8 @@ A source of n rows with target weight w gets the mean repetition rate N * w / n,
 Each row's count is the inverse of the Poisson distribution with that mean at a uniform number taken
 from a hash of (seed, id): the same on every run and on every executor that repeats a lost task. Rows
 are exploded by their count and dealt out to partitions by a hash of (seed, id, copy), sorted by it inside: a
-global shuffle with one exchange. Rates are broadcast where their size allows; else they are joined with the rows by source.
+global shuffle with one exchange. Rates are broadcast where their size allows; else they are joined with the rows by source and a salt,
+so that a hot source isn't one task's.
 
 Rules: without given weights a source's weight is n ** temperature; given weights are normalized
 over the sources present, a source without one gets none of the rows; a null source is a source; repeated rows
@@ -20,6 +21,8 @@ from lectern.llm.common import cut, unused
 
 #: Numbers in all sources' distribution functions up to which these go to every executor (8 MB); beyond, rows are joined by source.
 BROADCAST_NUMBERS = 1_000_000
+#: Tasks that the rows of a source go to where rates are joined by source.
+SALTS = 16
 
 
 def uniform(*parts: str) -> str:
@@ -55,13 +58,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     mark = unused(docs)
     named = [F.col(c).alias(f"{mark}{c}") for c in ("mix_source", "mix_cdf")]
     table = rates(docs, source_col, weights, temperature, budget).select(*named)
-    if (table.agg(F.sum(F.size(f"{mark}mix_cdf"))).first()[0] or 0) <= BROADCAST_NUMBERS:
-        table = F.broadcast(table)
+    numbers = table.agg(F.sum(F.size(f"{mark}mix_cdf"))).first()[0] or 0
     key = f"coalesce(cast(`{id_col}` as string), '')"
     keep = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
-    joined = docs.select(*keep).join(table, F.col(source_col).eqNullSafe(F.col(f"{mark}mix_source")))
+    own, same = docs.select(*keep), F.col(source_col).eqNullSafe(F.col(f"{mark}mix_source"))
+    if numbers <= BROADCAST_NUMBERS:
+        joined = own.join(F.broadcast(table), same)
+    else:  # a source's rows are dealt to SALTS tasks, each with a copy of its rates
+        salt = f"{mark}salt"
+        salted = table.withColumn(f"{salt}ed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = own.withColumn(salt, F.expr(f"cast(pmod(xxhash64({key}), {SALTS}) as int)")).join(salted, same & (F.col(salt) == F.col(f"{salt}ed")))
     drawn = F.expr(f"size(filter({mark}mix_cdf, c -> c <= {uniform(repr(f'mix{seed}'), key)}))")
-    counted = joined.withColumn(f"{mark}n", drawn).where(F.col(f"{mark}n") > 0)
+    # through a generator: the optimizer would push the filter to the side of the rates, which doesn't have the ids
+    counted = joined.select(*keep, F.explode(F.array(drawn)).alias(f"{mark}n")).where(F.col(f"{mark}n") > 0)
     copies = counted.select(*keep, F.explode(F.sequence(F.lit(1), F.col(f"{mark}n"))).alias("copy_no"))
     order = f"conv(substr(md5(concat_ws(':', {f'order{seed}'!r}, {key}, cast(copy_no as string))), 1, 15), 16, 10)"
     return copies.withColumn("shuffle_key", F.expr(f"cast({order} as bigint)")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
