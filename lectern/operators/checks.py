@@ -40,11 +40,16 @@ def is_local(raw: Column) -> Column:
     return (raw != "") & ~raw.startswith("//") & ~has_scheme(raw) & ((path == "") | is_markdown(F.coalesce(percent_decoded(path), path)))
 
 
-def references(outlines: DataFrame, known: DataFrame) -> DataFrame:
-    """Local references (id, hash, seq, line, raw, target, ... error), resolved; outlines keep the hash."""
+def local_links(outlines: DataFrame) -> DataFrame:
+    """(id, hash, seq, line, raw, target): links to Markdown documents or places in them, without the query part; outlines keep the hash."""
     before = F.regexp_extract("raw", r"^[^#]*", 0)
     links = unfolded(outlines, "links", "hash").withColumnRenamed("target", "raw").where(is_local(F.col("raw")))
-    return relations.resolved(relations.aimed(links.withColumn("target", F.concat(F.regexp_extract(before, r"^[^?]*", 0), F.regexp_extract("raw", r"#.*$", 0)))), known)
+    return links.withColumn("target", F.concat(F.regexp_extract(before, r"^[^?]*", 0), F.regexp_extract("raw", r"#.*$", 0)))
+
+
+def references(outlines: DataFrame, known: DataFrame) -> DataFrame:
+    """The same links with what they resolve to, and error."""
+    return relations.resolved(relations.aimed(local_links(outlines)), known)
 
 
 def _json(*columns) -> Column:
@@ -63,6 +68,27 @@ def edge_findings(edges: DataFrame) -> DataFrame:
         F.col("fault.code").alias("code"), F.col("fault.message").alias("message"), F.struct("line", F.col("fault.cause").alias("cause")).alias("details")))
 
 
+def limit_findings(outlines: DataFrame) -> DataFrame:
+    """Documents with more anchors than are supported, whose declarations can't be read."""
+    return outlines.where("over").select("id", F.lit(1).alias("phase"), F.lit(0).alias("ord"), _json(
+        F.lit("ANCHOR_LIMIT").alias("code"), F.lit(relations.TOO_MANY).alias("message"), F.lit(None).cast("string").alias("details")))
+
+
+def retained(refs: DataFrame, known: DataFrame, order: DataFrame, most: int) -> DataFrame:
+    """``known`` without the lines of documents whose anchors no longer fit into what one check retains: those referred to by anchor are counted in the order in
+    which they are first met, and one that doesn't fit is passed over. The driver holds a number for each such document."""
+    place = F.struct("ord", "line", "seq")
+    met = relations.aimed(refs).where("to_anchor is not null").join(order.select("id", "ord"), "id").groupBy("to_path").agg(F.min(place).alias("first"))
+    sizes = met.join(known.where("not to_over").select("to_path", F.size("marks").alias("n")), "to_path").orderBy("first").select("to_path", "n").collect()
+    left, refused = most, []
+    for path, n in sizes:
+        if n > left:
+            refused.append(path)
+        else:
+            left -= n
+    return known.withColumn("to_lines", F.when(~F.col("to_path").isin(refused), F.col("to_lines"))) if refused else known
+
+
 def reference_findings(refs: DataFrame) -> DataFrame:
     code = F.when(F.col("error.code") == "INVALID_RELATION", "INVALID_REFERENCE").otherwise(F.col("error.code"))
     there = F.col("error.message").isin(*AT_TARGET)
@@ -75,6 +101,6 @@ def reference_findings(refs: DataFrame) -> DataFrame:
         "line", F.col("raw").alias("target"), code.alias("code"), F.col("error.message").alias("message"), F.parse_json(details).alias("details")))
 
 
-def findings(scope: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFrame:
-    """(id, phase, ord, finding as JSON), to be shown by document, phase and ord."""
-    return header_findings(scope).unionByName(edge_findings(edges)).unionByName(reference_findings(refs))
+def findings(scope: DataFrame, outlines: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFrame:
+    """(id, phase, ord, finding as JSON), to be shown by document, phase and ord; outlines are those of the bodies."""
+    return header_findings(scope).unionByName(edge_findings(edges)).unionByName(limit_findings(outlines)).unionByName(reference_findings(refs))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +17,22 @@ def version(text: Column) -> Column:
 
 
 def snapshot(documents: DataFrame, selection: str) -> DataFrame:
-    """One row: the hash over all (id, version) pairs by code units, and the selection rules."""
+    """One row: the hash over all (id, version) pairs by code units, and the selection rules.
+
+    Pairs are sorted in parallel; the hash itself is one chain over them, so one task reads the sorted runs one after another and holds none of them.
+    """
     pair = F.concat(F.col("id"), F.lit("\0"), F.col("hash"))
-    listed = documents.agg(F.sort_array(F.collect_list(F.struct(code_units(pair).alias("k"), pair.alias("p")))).alias("a"))
-    return listed.select(F.sha2(F.concat(F.array_join(F.transform("a", lambda x: x["p"]), "\n"), F.lit("\nselection\0" + selection)), 256).alias("snapshot"))
+    listed = documents.select(pair.alias("pair")).orderBy(code_units(F.col("pair"))).coalesce(1)
+    end = documents.sparkSession.range(0, 1, 1, 1).select(F.lit(None).cast("string").alias("pair"))  # so that there is a row without documents, too
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, between = hashlib.sha256(), b""
+        for batch in batches:
+            for one in batch.column(0).to_pylist():
+                if one is not None:
+                    digest.update(between + one.encode())
+                    between = b"\n"
+        digest.update(b"\nselection\0" + selection.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["snapshot"])
+
+    return listed.unionByName(end).coalesce(1).mapInArrow(run, "snapshot string")

@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import folder, has_scheme, is_markdown, normalized, percent_decoded, trimmed
+from lectern.operators.scan import MAX_ANCHORS
 from lectern.operators.structure import nav_label, outline, unfolded
 
 #: Edge kinds and how documents write them. Fixed values.
 KINDS = {"depends-on": "Depends on", "exception-to": "Exception to", "supersedes": "Supersedes", "implements": "Implements", "extends": "Extends"}
 DECLARATIONS = 2_048
+TOO_MANY = f"At most {MAX_ANCHORS} headings and explicit anchors are supported per document"
+RETAINED = "A query can retain at most 65536 target anchors; narrow source selection"
 BAD = "Invalid entry in the Relationships section"
 
 
@@ -61,9 +64,9 @@ def target_path(source: Column, target: Column) -> Column:
 
 
 def targets(outlines: DataFrame) -> DataFrame:
-    """What edges need of the documents that they point at, from outlines that keep hash and historical: (to_path, to_version, to_historical, to_lines, clashing, marks)."""
+    """What edges need of the documents that they point at, from outlines that keep hash and historical: (to_path, to_version, to_historical, to_lines, clashing, to_over, marks)."""
     clash = F.array_min(F.transform(F.filter("marks", lambda m: m["clash"].isNotNull()), lambda m: F.struct(m["line_start"], m["anchor"], m["clash"])))
-    return outlines.select(F.col("id").alias("to_path"), F.col("hash").alias("to_version"), F.col("historical").alias("to_historical"), F.col("lines").alias("to_lines"), clash.alias("clashing"), "marks")
+    return outlines.select(F.col("id").alias("to_path"), F.col("hash").alias("to_version"), F.col("historical").alias("to_historical"), F.col("lines").alias("to_lines"), clash.alias("clashing"), F.col("over").alias("to_over"), "marks")
 
 
 def aimed(wanted: DataFrame) -> DataFrame:
@@ -87,6 +90,8 @@ def resolved(rows: DataFrame, known: DataFrame) -> DataFrame:
              .when(F.col("to_path").isNull(), says("INVALID_RELATION", "Relation target escapes the project"))
              .when(F.col("to_id").isNull(), says("INVALID_RELATION", "Relation target is not a selected Markdown source"))
              .when(asked & F.col("to_anchor").isNull(), says("INVALID_RELATION", "Invalid anchor encoding"))
+             .when(asked & F.col("to_over"), says("ANCHOR_LIMIT", TOO_MANY))
+             .when(asked & F.col("to_lines").isNull(), says("ANCHOR_LIMIT", RETAINED))
              .when(asked & F.col("clashing").isNotNull(), says("AMBIGUOUS_ANCHOR", "Document contains a duplicate anchor"))
              .when(asked & F.col("a_first").isNull(), says("INVALID_RELATION", "Relation anchor does not exist")))
     return full.select(*[c for c in rows.columns if c != "to_path"], "to_id", "to_version", "to_historical", F.when(asked, F.col("a_first")).otherwise(1).alias("to_first"),

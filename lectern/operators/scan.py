@@ -11,6 +11,8 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
+import numpy as np
+
 MAX_ANCHORS = 32_768
 FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*)|$)")
@@ -41,20 +43,36 @@ ANCHOR = re.compile(r"<a id=\"([^\s\"<>&]+)\">")
 ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
 
 
-def line_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end without ending, end) of each line, in characters."""
-    out = [(m.start(), m.end(1), m.end()) for m in re.finditer(r"([^\r\n]*)(?:\r\n|\r|\n|\Z)", text) if m.end() > m.start()]
-    return out or [(0, 0, 0)]
+def line_bounds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end without ending, and end of each line, in characters; an empty text is one line."""
+    code = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    feed = code == 10
+    closes = feed.copy()
+    if len(code):
+        closes |= (code == 13) & ~np.append(feed[1:], False)
+    ends = np.flatnonzero(closes) + 1
+    if not len(ends) or ends[-1] < len(code):
+        ends = np.append(ends, len(code))
+    starts = np.concatenate([[0], ends[:-1]])
+    last = code[ends - 1] if len(code) else np.zeros(1, np.uint8)
+    stops = ends - ((last == 10) | (last == 13))
+    if len(code):
+        stops = stops - ((last == 10) & (ends - starts > 1) & (code[np.maximum(ends - 2, 0)] == 13))
+    return starts, stops, ends
 
 
 def front_matter(text: str) -> tuple[int, int, int] | None:
     """Start and end of the YAML header between its fences, and the start of the body; None without a closed header."""
     lead = 1 if text.startswith("\ufeff") else 0
-    spans = line_spans(text[lead:])
-    fence = [k for k, (a, b, _) in enumerate(spans) if text[lead + a:lead + b].rstrip(" \t") == "---"][:2]
-    if len(fence) < 2 or fence[0] != 0:
-        return None
-    return lead + spans[0][2], lead + spans[fence[1]][0], lead + spans[fence[1]][2]
+    after = None
+    for m in re.compile(r"([^\r\n]*)(?:\r\n|\r|\n|\Z)").finditer(text, lead):  # lines, as far as needed
+        if m[1].rstrip(" \t") == "---":
+            if after is not None:
+                return after, m.start(), m.end()
+            after = m.end()
+        elif after is None:
+            return None
+    return None
 
 
 @dataclass
@@ -432,7 +450,10 @@ def parse(text: str) -> Document:
     front = front_matter(text)
     base = front[2] if front else 0
     found = Found()
-    parse_blocks([Line(base + a, text[base + a:base + b], base + c) for a, b, c in line_spans(text[base:])], 0, 0, found)
+    starts, stops, ends = line_bounds(text[base:] if base else text)
+    empty = starts == stops
+    kept = np.flatnonzero(~empty | ~np.append(False, empty[:-1]))  # of empty lines one behind another, the first says it all
+    parse_blocks([Line(base + a, text[base + a:base + b], base + c) for a, b, c in zip(starts[kept].tolist(), stops[kept].tolist(), ends[kept].tolist(), strict=True)], 0, 0, found)
     doc = Document(None, [], [], [])
     runs: list[tuple[str, int, int]] = []  # markup outside quotes
     for block in found.blocks:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import SLUG_DROPS, SPACE
-from lectern.operators.scan import MAX_ANCHORS, Document, Found, Inline, Line, line_spans, parse, parse_blocks
+from lectern.operators.scan import MAX_ANCHORS, Document, Found, Inline, Line, line_bounds, parse, parse_blocks
 
 CONTEXT_BYTES = 8_192
 #: The heading under which a document declares edges. Fixed value.
@@ -38,10 +38,10 @@ def _arrow(fields: str) -> pa.DataType:
     return pa.list_(pa.struct([(name, _TYPES[kind]) for name, kind in (f.split() for f in fields.split(", "))]))
 
 
-def byte_offsets(text: str) -> np.ndarray:
+def byte_offsets(text: str) -> np.ndarray | range:
     """Byte offset of each character, and of the end; one encoding a text."""
     if text.isascii():
-        return np.arange(len(text) + 1)
+        return range(len(text) + 1)
     code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     return np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])
 
@@ -84,9 +84,9 @@ class Outline:
 
     def __init__(self, text: str):
         doc: Document = parse(text)
-        self.text, self.spans = text, line_spans(text)
-        self.bytes = byte_offsets(text)
-        self.ends = [b for _, _, b in self.spans]
+        self.text, self.bytes = text, byte_offsets(text)
+        self.starts, self.stops, self.ends = line_bounds(text)
+        self.lines = len(self.ends)
         self.title, self.over = doc.title, len(doc.headings) + len(doc.anchors) > MAX_ANCHORS
         found = [] if self.over else doc.headings
         lines = [self.line(a) for _, a, _, _ in found]
@@ -97,11 +97,11 @@ class Outline:
         self.sections, self.entries = self.sectioned(), self.declared()
 
     def line(self, at: int) -> int:
-        return min(bisect_right(self.ends, at), len(self.ends) - 1) + 1
+        return min(int(np.searchsorted(self.ends, at, "right")), self.lines - 1) + 1
 
     def last_lines(self, levels: list[int], lines: list[int]) -> list[int]:
         """The line before the next heading of the same or a higher level, or the last line."""
-        out, open_ = [len(self.spans)] * len(levels), []
+        out, open_ = [self.lines] * len(levels), []
         for n, level in enumerate(levels):
             while open_ and levels[open_[-1]] >= level:
                 out[open_.pop()] = lines[n] - 1
@@ -111,10 +111,10 @@ class Outline:
     def sectioned(self) -> list[tuple]:
         """A preamble, unless a heading is on line 1, and one section a heading. Bytes run to the next heading of any level, lines through the last subsection."""
         size, heads = int(self.bytes[-1]), self.headings
-        starts = [(-1, 1, heads[0][5] - 1 if heads else len(self.spans), heads[0][5] if heads else None)] if not heads or heads[0][5] > 1 else []
+        starts = [(-1, 1, heads[0][5] - 1 if heads else self.lines, heads[0][5] if heads else None)] if not heads or heads[0][5] > 1 else []
         starts += [(h[0], h[5], h[6], h[7]) for h in heads]
-        byte = lambda line: int(self.bytes[self.spans[line - 1][0]])
-        return [(n, a, b, byte(a), byte(after) if after else size, int(self.bytes[self.spans[b - 1][2]])) for n, a, b, after in starts if b >= a]
+        byte = lambda line: int(self.bytes[int(self.starts[line - 1])])
+        return [(n, a, b, byte(a), byte(after) if after else size, int(self.bytes[int(self.ends[b - 1])])) for n, a, b, after in starts if b >= a]
 
     def anchored(self, explicit: list[tuple[str, int]]) -> list[tuple]:
         """(anchor, first line, last line, line of an earlier anchor of the same name): slugs of headings, and explicit ones, each running to the end of the first
@@ -125,7 +125,7 @@ class Outline:
         stops = [h[4] for h in self.headings]
         for n, (name, k) in enumerate(explicit):
             after = bisect_right(stops, int(self.bytes[k]))
-            rows.append((self.line(k), self.headings[min(after, len(stops) - 1)][6] if stops else len(self.spans), 1, n, name))
+            rows.append((self.line(k), self.headings[min(after, len(stops) - 1)][6] if stops else self.lines, 1, n, name))
         seen: dict[str, int] = {}
         out = []
         for first, last, _, _, name in sorted(rows):
@@ -142,8 +142,8 @@ class Outline:
         stop = next((h[3] for h in self.headings[first[0] + 1:] if h[1] <= 2), int(self.bytes[-1]))
         second = heads[1][5] if len(heads) > 1 else None
         out = []
-        for n in sorted({*range(first[5], len(self.spans) + 1)} if second is None else {*range(first[5], second + 1)}):
-            a, b, _ = self.spans[n - 1]
+        for n in range(first[5], (second or self.lines) + 1):
+            a, b = int(self.starts[n - 1]), int(self.stops[n - 1])
             content, at = self.text[a:b], int(self.bytes[a])
             inside = first[4] <= at < stop and _OUTER_WHITE.sub("", content) != ""
             bad = n == first[5] and content != "## " + DECLARING
@@ -160,7 +160,7 @@ def outline(documents: DataFrame, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [Outline(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = [[len(o.spans) for o in found], [o.title for o in found], [o.over for o in found]]
+            columns = [[o.lines for o in found], [o.title for o in found], [o.over for o in found]]
             columns += [[[dict(zip(keys, x, strict=True)) for x in getattr(o, name)] for o in found] for name, keys in ((n, [f.split()[0] for f in fields.split(", ")]) for n, fields in FIELDS.items())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 

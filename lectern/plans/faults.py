@@ -62,7 +62,8 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = relations.targets(_outlines(docs))
     scope = checks.checked(docs)
     bodies = checks.bodies(scope)
-    return checks.findings(scope, _edges(bodies, known), checks.references(_outlines(bodies), known))
+    near = _outlines(bodies)
+    return checks.findings(scope, near, _edges(bodies, known), checks.references(near, known))
 
 
 def fault_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,10 +217,11 @@ class Project:
         bodies = checks.bodies(scope, asked, historical)
         counted = scope.agg(F.count(F.lit(1)), F.count_if(metadata.is_documentation(F.col("id")))).first()
         checked_bodies = bodies.count()
-        refs = checks.references(self._outlines(bodies), relations.targets(self.outlines)).persist()
+        near, known = self._outlines(bodies), relations.targets(self.outlines)
+        refs = checks.references(near, checks.retained(checks.local_links(near), known, self.documents, RETAINED)).persist()
         if refs.count() > REFERENCES:
             raise QueryError("CHECK_LIMIT", f"At most {REFERENCES} local Markdown references can be validated; narrow source selection")
-        found = checks.findings(scope, self._edges(bodies), refs).join(self.documents.select("id", F.col("ord").alias("doc_ord"), "hash"), "id").persist()
+        found = checks.findings(scope, near, self._edges(bodies), refs).join(self.documents.select("id", F.col("ord").alias("doc_ord"), "hash"), "id").persist()
         total = found.count()
         if total > FINDINGS:
             raise QueryError("CHECK_LIMIT", f"Validation exceeds {FINDINGS} findings; narrow source selection")

@@ -122,3 +122,54 @@ def test_faults(spark):
     assert [f["code"] for f in out] == ["INVALID_RELATION", "INVALID_REFERENCE"] and out[1]["details"]["document"] == "b.md"
     p = over(a="[l](b.md#here)", b="<a id=\"here\"></a>\n\n# Here\n")
     assert [(f["code"], f["details"]["firstLine"]) for f in p.check()["findings"]] == [("AMBIGUOUS_ANCHOR", 1)]
+
+
+def opened(spark, root, **files):
+    for path in root.iterdir():
+        path.unlink()
+    for name, text in files.items():
+        (root / f"{name}.md").write_text(text)
+    return Project.open(spark, str(root))
+
+
+def fault(call, *args, **options):
+    with pytest.raises(QueryError) as e:
+        call(*args, **options)
+    return e.value
+
+
+def test_many_lines_in_bounded_windows(spark, tmp_path):
+    with opened(spark, tmp_path, blank="\n" * (16 << 20)) as p:
+        assert p.search("missing")["totalMatches"] == 0 and p.check()["status"] == "ready"
+    with opened(spark, tmp_path, blank="amber\n" * (32 * 32_769)) as p:
+        assert fault(p.search, "amber").code == "SEARCH_LIMIT"
+    with opened(spark, tmp_path, blank="# " + "x" * (512 << 10) + "\n" + "Ordinary text without a match.\n" * 70_000) as p:
+        assert p.search("quasarexclusive")["totalMatches"] == 0 and p.search("ordinary", limit=64, max_bytes=65_536)["matches"]
+
+
+def test_anchor_limits(spark, tmp_path):
+    with opened(spark, tmp_path, heads="## Heading\n" * 32_769, source="[a](heads.md#heading)\n") as p:
+        assert [(f["document"], f["code"]) for f in p.check()["findings"]] == [("heads.md", "ANCHOR_LIMIT"), ("source.md", "ANCHOR_LIMIT")]
+    with opened(spark, tmp_path, target="# Policy\n" + "\n" * (1 << 20), source="[Policy](target.md?view=raw#policy)\n" * 512) as p:
+        assert p.check(["source.md"])["status"] == "ready"
+    with opened(spark, tmp_path, source="".join(f"[Target](t{k}.md#heading)\n" for k in range(4)), **{f"t{k}": "## Heading\n" * 20_000 for k in range(4)}) as p:
+        assert [(f["line"], f["code"]) for f in p.check(["source.md"])["findings"]] == [(4, "ANCHOR_LIMIT")]
+
+
+@pytest.mark.parametrize("hidden", [
+    '<!-- <a id="phantom"></a> -->', '<script>\n<a id="phantom"></a>\n</script>', '<script>\n</scripture><a id="phantom"></a>\n</script>', '<style>\n<a id="phantom"></a>\n</style>',
+    '<textarea><a id="phantom"></a></textarea>', "<div title='<fake> <a id=\"phantom\"></a>'></div>"])
+def test_hidden_anchors(hidden):
+    from lectern.operators.structure import Outline
+
+    assert [m[0] for m in Outline(f"# B\n{hidden}\n\n<a id=\"real\"></a>\n").marks] == ["b", "real"]
+    assert [m[0] for m in Outline("<script>\r\n</script\r\n>\r\n<a id=\"real\"></a>\r\n").marks] == ["real"]
+
+
+def test_too_many_declarations(spark, tmp_path):
+    entries = [f"- Depends on [B](b.md): scope {i}\n" for i in range(2_049)]
+    with opened(spark, tmp_path, a="## Relationships\n" + "".join(entries), b="# B\n") as p:
+        e = fault(p.relations, "a.md", "outgoing", limit=1)
+        assert e.code == "RELATION_LIMIT" and e.details["line"] == 2_050
+    with opened(spark, tmp_path, a="## Relationships\n" + "".join(entries[:1_025]), c="## Relationships\n" + "".join(entries[1_025:]), b="# B\n") as p:
+        assert fault(p.relations, "b.md", "incoming", limit=1).code == "RELATION_LIMIT"
