@@ -85,18 +85,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HEAVY_KEYS = 65_536
 
 
-def heavy_join(rows: DataFrame, table: DataFrame, key: str | list[str], count_col: str, least: int = 1_024) -> DataFrame:
+def heavy_join(rows: DataFrame, table: DataFrame, key: str | list[str], count_col: str, least: int = 128, narrow: str = "true") -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row a key and the number of rows with that key, without one task for a hot key.
 
     Keys with more than their share of 1 / HEAVY_KEYS of all rows, and ``least``, are HEAVY_KEYS at most: they are broadcast, and their rows aren't shuffled.
+    ``narrow`` is a condition on rows of ``table`` that bounds the size of those that may be broadcast, where their columns don't.
     """
     keys = [key] if isinstance(key, str) else key
     total = table.agg(F.sum(count_col)).first()[0] or 0
     edge = max(least, total // HEAVY_KEYS)
-    hot = cut(table.where(F.col(count_col) > edge))
+    heavy = f"{count_col} > {edge} and coalesce({narrow}, false)"
+    hot = cut(table.where(heavy))
     if hot.isEmpty():
         return rows.join(table, keys)
-    light = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(count_col) <= edge), keys)
+    light = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(f"not ({heavy})"), keys)
     return rows.join(F.broadcast(hot), keys).unionByName(light)
 
 

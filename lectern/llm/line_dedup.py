@@ -251,7 +251,7 @@ def met_heads(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(ok)
 
     heads = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("c")).join(lines.select(F.col("k1").alias("head"), F.col("k").alias("b"), F.col("line").alias("of_b")), "head")
-    full = heavy_join(pairs.join(lines.select("k1", F.col("k").alias("a"), F.col("line").alias("of_a")), "k1"), heads, "head", "c")
+    full = heavy_join(pairs.join(lines.select("k1", F.col("k").alias("a"), F.col("line").alias("of_a")), "k1"), heads, "head", "c", narrow="octet_length(of_b) <= 1024")
     return full.select("a", "b", "of_a", "of_b").mapInArrow(released(run), "a binary, b binary")
 
 

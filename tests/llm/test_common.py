@@ -38,3 +38,16 @@ def test_rolling_and_argmin():
         assert C.rolling(h, k, 31).tolist() == want
         small = h % np.uint64(5)
         assert C.sliding_argmin(small, k).tolist() == [i + int(small[i:i + k].argmin()) for i in range(50 - k + 1)]
+
+
+def test_heavy_join_as_a_plain_one(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.llm.common import heavy_join
+
+    rows = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"), F.lit("s").alias("j"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c")).withColumn("y", -F.col("k"))
+    want = sorted(map(tuple, rows.join(table, "k").select("k", "x", "y").collect()))
+    for options in ({}, {"least": 10**6}, {"narrow": "y > 0"}, {"least": 0}):
+        assert sorted(map(tuple, heavy_join(rows, table, "k", "c", **options).select("k", "x", "y").collect())) == want
+    assert heavy_join(rows.limit(0), table.limit(0), "k", "c").count() == 0
