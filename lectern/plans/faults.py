@@ -23,10 +23,11 @@ KINDS = (
 
 
 def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each supplier, of one of the kinds; those of the last kind are historical."""
+    """A document for each supplier, of one of the kinds; those of the last kind are historical, those of the fourth not under docs."""
     k = F.col("s_suppkey")
     text = F.get(F.array(*map(F.lit, KINDS)), F.pmod(k, F.lit(len(KINDS))).cast("int"))
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.format_string("docs/f-%d.md", k).alias("id"), F.replace(text, F.lit("%d"), k.cast("string")).alias("text"),
+    folder = F.when(F.pmod(k, F.lit(len(KINDS))) == 3, "notes").otherwise("docs")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.format_string("%s/f-%d.md", folder, k).alias("id"), F.replace(text, F.lit("%d"), k.cast("string")).alias("text"),
                                                                    (F.pmod(k, F.lit(len(KINDS))) == 5).alias("historical"))
     return rows.withColumn("hash", version(F.col("text")))
 
@@ -78,9 +79,9 @@ def check_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a check counts: findings, documents, bodies and the status that follows."""
     docs = faulty(spark, sf_dir)
     scope = checks.checked(docs)
-    counts = scope.agg(F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("historical")).alias("bodies"))
+    counts = scope.agg(F.count(F.lit(1)).alias("documents"), F.count_if(metadata.is_documentation(F.col("id"))).alias("headers"), F.count_if(~F.col("historical")).alias("bodies"))
     return _findings(spark, sf_dir).agg(F.count(F.lit(1)).alias("findings")).crossJoin(F.broadcast(counts)).select(  # one row with one row
-        "findings", "documents", "bodies", reports.check_status(F.col("findings"), F.lit(False)).alias("status"), reports.check_status(F.lit(0), F.col("findings") > 0).alias("passed_over"))
+        "findings", "documents", "headers", "bodies", reports.check_status(F.col("findings"), F.lit(False)).alias("status"), reports.check_status(F.lit(0), F.col("findings") > 0).alias("passed_over"))
 
 
 def declaring_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,10 +175,10 @@ def help_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (fault_marks, fault_edges, fault_headers, fault_titles, fault_findings, check_status, declaring_scope, search_scope_current, search_asked, search_without_terms,
                                    search_matches, listing_order, selected_paths, script_trims, newest_releases, civil_dates, documents_by_state, help_table)}
 
-_F = "f AS (SELECT 'docs/f-' || s_suppkey || '.md' AS id, s_suppkey AS k, s_suppkey % 6 AS v FROM supplier)"
+_F = "f AS (SELECT CASE WHEN s_suppkey % 6 = 3 THEN 'notes' ELSE 'docs' END || '/f-' || s_suppkey || '.md' AS id, s_suppkey AS k, s_suppkey % 6 AS v FROM supplier)"
 _NO_HEADER = "Documentation under docs requires a closed outer YAML metadata header"
 _MISSING = "Required metadata field is missing"
-_HEADERS = f"""h(v, ord, line, field, message) AS (VALUES (0, -2, 1, NULL, '{_NO_HEADER}'), (2, -2, 1, NULL, '{_NO_HEADER}'), (3, -2, 1, NULL, '{_NO_HEADER}'), (5, -2, 1, NULL, '{_NO_HEADER}'),
+_HEADERS = f"""h(v, ord, line, field, message) AS (VALUES (0, -2, 1, NULL, '{_NO_HEADER}'), (2, -2, 1, NULL, '{_NO_HEADER}'), (5, -2, 1, NULL, '{_NO_HEADER}'),
     (1, 2, 3, 'title', 'Metadata fields must follow the standard field order'), (1, 1002, 2, 'created_at', '{_MISSING}'), (1, 1003, 2, 'tags', '{_MISSING}'), (4, 1, 2, 'title', 'Metadata field must be text'))"""
 _EDGES = f"""e(v, line, code, message, cause) AS (VALUES (2, 5, NULL, NULL, NULL), (2, 6, 'INVALID_RELATION', 'Duplicate authored relationship declaration', NULL),
     (2, 7, 'INVALID_RELATION', 'Relation target escapes the project', NULL), (2, 8, 'INVALID_RELATION', '{relations.BAD}', 'target must be a relative Markdown source with an optional non-empty fragment'),
@@ -197,7 +198,7 @@ ORACLE = {
     "fault_titles": f"""WITH {_F}, t(v, title, status) AS (VALUES (0, 'A', NULL), (1, 'T', 'draft'), (2, 'E', NULL), (3, NULL, NULL), (4, 'Four', 'draft'), (5, 'T', NULL))
         SELECT id, coalesce(title, 'f-' || k || '.md') AS title, status FROM f JOIN t USING (v)""",
     "fault_findings": f"{_FOUND} SELECT id, row_number() OVER (PARTITION BY id ORDER BY phase, ord)::INTEGER AS place, phase::INTEGER AS phase, code, message, line::INTEGER AS line FROM c",
-    "check_status": f"{_FOUND} SELECT (SELECT count(*) FROM c) AS findings, (SELECT count(*) FROM f) AS documents, (SELECT count(*) FROM f WHERE v <> 5) AS bodies, 'failed' AS status, 'partial' AS passed_over",
+    "check_status": f"{_FOUND} SELECT (SELECT count(*) FROM c) AS findings, (SELECT count(*) FROM f) AS documents, (SELECT count(*) FROM f WHERE v <> 3) AS headers, (SELECT count(*) FROM f WHERE v <> 5) AS bodies, 'failed' AS status, 'partial' AS passed_over",
     "declaring_scope": f"WITH {_F} SELECT 'outgoing' AS direction, count(*) AS documents FROM f WHERE k = 5 UNION ALL SELECT 'incoming', count(*) FROM f WHERE k = 5 OR v <> 5",
     "search_scope_current": f"WITH {_SCORED('WHERE substr(id, 6, 8)::INTEGER % 3 <> 0')} SELECT id, first_line, round(score, 6) AS score FROM h",
     "search_asked": "WITH " + _SCORED("WHERE id IN ('docs/00000003.md', 'docs/00000004.md')") + " SELECT id, first_line, round(score, 6) AS score FROM h",
