@@ -34,6 +34,11 @@ def bodies(scope: DataFrame, asked: list[str] = (), historical: bool = False) ->
     return scope.where(F.lit(historical or bool(asked)) | ~F.col("historical"))
 
 
+def first_missing(asked: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row: the first id, in the order of its bytes, that is asked for and not selected; null if there is none."""
+    return asked.join(documents.select("id"), "id", "left_anti").agg(F.min("id").alias("missing"))
+
+
 def is_local(raw: Column) -> Column:
     """Whether a link's destination may name a Markdown document or a place in one."""
     path = F.regexp_extract(raw, r"^[^#?]*", 0)

@@ -92,6 +92,12 @@ def declaring_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
         checks.declaring(docs, "docs/f-5.md", "incoming").agg(F.lit("incoming").alias("direction"), F.count(F.lit(1)).alias("documents")))
 
 
+def sources_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of all parts' keys that has no document of that name."""
+    asked = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.format_string("docs/f-%d.md", "p_partkey").alias("id"))
+    return checks.first_missing(asked, faulty(spark, sf_dir))
+
+
 def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return rows.select(F.format_string("docs/%08d.md", "doc_id").alias("id"), "text", (F.pmod("doc_id", F.lit(3)) == 0).alias("historical"), version(F.col("text")).alias("hash"))
@@ -172,7 +178,7 @@ def help_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.commands(spark)
 
 
-QUERIES = {f.__name__: f for f in (fault_marks, fault_edges, fault_headers, fault_titles, fault_findings, check_status, declaring_scope, search_scope_current, search_asked, search_without_terms,
+QUERIES = {f.__name__: f for f in (fault_marks, fault_edges, fault_headers, fault_titles, fault_findings, check_status, declaring_scope, sources_missing, search_scope_current, search_asked, search_without_terms,
                                    search_matches, listing_order, selected_paths, script_trims, newest_releases, civil_dates, documents_by_state, help_table)}
 
 _F = "f AS (SELECT CASE WHEN s_suppkey % 6 = 3 THEN 'notes' ELSE 'docs' END || '/f-' || s_suppkey || '.md' AS id, s_suppkey AS k, s_suppkey % 6 AS v FROM supplier)"
@@ -200,6 +206,7 @@ ORACLE = {
     "fault_findings": f"{_FOUND} SELECT id, row_number() OVER (PARTITION BY id ORDER BY phase, ord)::INTEGER AS place, phase::INTEGER AS phase, code, message, line::INTEGER AS line FROM c",
     "check_status": f"{_FOUND} SELECT (SELECT count(*) FROM c) AS findings, (SELECT count(*) FROM f) AS documents, (SELECT count(*) FROM f WHERE v <> 3) AS headers, (SELECT count(*) FROM f WHERE v <> 5) AS bodies, 'failed' AS status, 'partial' AS passed_over",
     "declaring_scope": f"WITH {_F} SELECT 'outgoing' AS direction, count(*) AS documents FROM f WHERE k = 5 UNION ALL SELECT 'incoming', count(*) FROM f WHERE k = 5 OR v <> 5",
+    "sources_missing": f"WITH {_F} SELECT min('docs/f-' || p_partkey || '.md') AS missing FROM part WHERE 'docs/f-' || p_partkey || '.md' NOT IN (SELECT id FROM f)",
     "search_scope_current": f"WITH {_SCORED('WHERE substr(id, 6, 8)::INTEGER % 3 <> 0')} SELECT id, first_line, round(score, 6) AS score FROM h",
     "search_asked": "WITH " + _SCORED("WHERE id IN ('docs/00000003.md', 'docs/00000004.md')") + " SELECT id, first_line, round(score, 6) AS score FROM h",
     "search_without_terms": "SELECT 0::BIGINT AS hits",
