@@ -11,7 +11,8 @@ the sections' ends. A token that lies in one section counts there; one that cros
 Under each rule the counts of a document add up to its tokens. Sections are lines, each with the \\n that ends it, or given columns:
 the document is then their texts joined by ``separator``, which belongs to the column before it; a null column is an empty section.
 
-Encoding is that of the operator for byte-level BPE, so its time doesn't grow with the square of a run of white space or letters.
+Texts with a run of LONG_RUN characters of white space, or of others, are encoded by the rank queue of the operator for byte-level BPE, as the library's time grows
+with the square of a run, and very long white space exhausts its stack; both give the same ids.
 
 Rules: a null or empty document has one section, number 0, without tokens; bytes that are not UTF-8 count as U+FFFD; strings of special tokens are
 ordinary text; repeated rows are counted each. Whole texts are encoded, whatever their length; no shuffle.
@@ -19,15 +20,17 @@ ordinary text; repeated rows are counted each. Whole texts are encoded, whatever
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lectern.llm.bpe import codec
+from lectern.llm.bpe import codec, load_ranks
 from lectern.llm.common import released, small_batches, texts
 
+LONG_RUN = 2_000
 RULES = ("start", "end", "majority", "fraction")
 
 
@@ -52,6 +55,26 @@ def allot(sizes: np.ndarray, ends: np.ndarray, rule: str) -> np.ndarray:
     return out
 
 
+class Encoder:
+    """Ids of texts, and the bytes of each id's token."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        ranks = load_ranks(path)
+        self.path, self.pattern = path, pattern
+        self.usual = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.white = re.compile(rf"\s{{{LONG_RUN}}}").search
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for tok, r in ranks.items():
+            self.size[r] = len(tok)
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.white(text) or max(map(len, text.split()), default=0) >= LONG_RUN:
+            return np.frombuffer(codec(self.path, self.pattern).encode(text), "<u4")
+        return np.array(self.usual(text), np.int64)
+
+
 def line_ends(data: bytes) -> np.ndarray:
     """Ends in bytes of lines with their \\n; no empty line after a last \\n."""
     at = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
@@ -69,13 +92,12 @@ def attribute(docs: DataFrame, path: str, pattern: str, rule: str = "majority",
     names = ["id", "section", "first_char", "end_char", "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
-        size = bpe.sizes()
+        encoder = Encoder(path, pattern)
         for batch in batches:
             parts = [[x or "" for x in texts(batch, f"c{k}")] for k in range(len(columns))]
             whole = [separator.join(own) for own in zip(*parts, strict=True)] if fields else parts[0]
             out: list[list] = [[] for _ in kinds]
-            for n, (i, text, ids) in enumerate(zip(batch.column(0).to_pylist(), whole, bpe.encode_some(whole), strict=True)):
+            for n, (i, text) in enumerate(zip(batch.column(0).to_pylist(), whole, strict=True)):
                 if fields:
                     own = [p[n] for p in parts]
                     glued = [x + separator for x in own[:-1]] + own[-1:]
@@ -85,7 +107,7 @@ def attribute(docs: DataFrame, path: str, pattern: str, rule: str = "majority",
                     ends = line_ends(data)
                     wide = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80  # first bytes of characters
                     chars = np.concatenate([[0], np.cumsum(wide)])[ends]
-                got = allot(size[np.frombuffer(ids, "<u4")], ends, rule)
+                got = allot(encoder.size[encoder.ids(text)], ends, rule)
                 out[0] += [i] * len(ends)
                 out[1] += range(len(ends))
                 out[2] += [0, *chars[:-1].tolist()]

@@ -74,16 +74,13 @@ def test_rows_of_one_id_with_different_texts(spark):
     assert got == [("1", 30, 0), ("2", 1, 0), ("2", 30, 0), ("2", 60, 60), ("2", 60, 60), ("3", 25, 25), ("None", 30, 0)]
 
 
-def test_a_window_of_every_document_stays_within_bounds(spark, monkeypatch):
-    """Excerpts of one passage that all documents hold are passed on as repeats, not piled up in one task."""
+def test_a_passage_of_every_document(spark, monkeypatch):
+    """Excerpts of one passage that all documents hold are passed on as repeats, by the scan or in the order of their route."""
     monkeypatch.setattr(S, "FREQUENT", 4)
-    most = []
-    real = S.locate
+    monkeypatch.setattr(S, "CHUNK", 3)
     shared = " ".join(f"s{k}" for k in range(40))
     rows = [(i, f"a{i} b{i} {shared} c{i}") for i in range(600)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
-    got = {r["doc_id"]: r["n_removed"] for r in S.dedup(df).collect()}
-    assert got[0] == 0 and all(got[i] == 40 for i in range(1, 600))
-    words = shared.encode().split()
-    piled = [(i, 7, 2, 0, f" {shared} ") for i in range(3)]
-    assert real(piled) and len(words) == 40 and not most
+    for mapped in (S.MOST_MAPPED, 0):
+        monkeypatch.setattr(S, "MOST_MAPPED", mapped)
+        got = {r["doc_id"]: r["n_removed"] for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(40)).collect()}
+        assert got[0] == 0 and all(got[i] == 40 for i in range(1, 600))
