@@ -37,7 +37,7 @@ from lectern.llm.common import WordHash, binary, cut, heavy_join, mix64, release
 
 WINDOW, PHRASE = 20, 8
 SPAN = WINDOW - PHRASE + 1
-#: Phrases that recur for which the two bit maps are made: 16 bits each at 2^23, so 16 MB a map at most.
+#: Phrases that recur for which the two bit maps are made: 16 to 32 bits each, so 32 MB a map at most.
 MOST_MAPPED = 1 << 23
 FREQUENT = 128
 HELD, CHUNK = 60_000, 20_000  # excerpts held by a scanning task, and in one automaton's round
@@ -73,7 +73,7 @@ def phrase_counts(docs: DataFrame) -> DataFrame:
 
 
 class BitMaps:
-    """Bit maps of phrases named twice or more, and of those named more than FREQUENT times; 16 bits for each phrase that recurs."""
+    """Bit maps of phrases named twice or more, and of those named more than FREQUENT times; 16 to 32 bits for each phrase that recurs."""
 
     def __init__(self, counts: DataFrame, recurring: int):
         self.words = max(64, 1 << (recurring * 16).bit_length()) // 64
