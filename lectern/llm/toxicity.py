@@ -90,7 +90,7 @@ class Lookup(dict):
         return sorted({i for x in hits for i in x}), len(hits)
 
 
-def fit(rows: list[list[int]], grades: np.ndarray, n_features: int, l2: float = 1e-6, rounds: int = 2_500) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[list[int]], grades: np.ndarray, n_features: int, l2: float = 1e-6, rounds: int = 1_000) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds, by full-batch Adam on the penalized likelihood."""
     k = int(grades.max())
     base = np.array([np.log(max(1e-4, (grades <= g).mean()) / max(1e-4, (grades > g).mean())) for g in range(k)])
@@ -98,9 +98,15 @@ def fit(rows: list[list[int]], grades: np.ndarray, n_features: int, l2: float =
     rows, grades = [r for r, _ in alike], np.array([g for _, g in alike])
     share = np.array(list(alike.values())) / sum(alike.values())
     lens = np.array([len(r) for r in rows])
-    idx = np.concatenate([np.array(r, np.int64) for r in rows if r] or [np.zeros(0, np.int64)])
-    owner = np.repeat(np.arange(len(rows)), lens)
+    full = np.flatnonzero(lens)  # rows with features
+    idx = np.concatenate([np.array(r, np.int32) for r in rows if r] or [np.zeros(0, np.int32)])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
     value = np.repeat(1 / np.sqrt(np.maximum(lens, 1)), lens)
+    at = np.concatenate([[0], np.cumsum(lens[full])])[:-1]
+    # the same entries by feature, so that both products are sums over runs
+    order = np.argsort(idx, kind="stable")
+    owner_of, value_of, (met, first) = owner[order], value[order], np.unique(idx[order], return_index=True)
+    score = np.zeros(len(rows))
     w = np.zeros(n_features)
     free = np.concatenate([base[:1], np.log(np.maximum(np.diff(base), 0.05))])  # first threshold, log gaps
     m, v = np.zeros(n_features + k), np.zeros(n_features + k)
@@ -108,7 +114,8 @@ def fit(rows: list[list[int]], grades: np.ndarray, n_features: int, l2: float =
     for t in range(1, rounds + 1):
         gaps = np.exp(free[1:])
         theta = free[0] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.bincount(owner, w[idx] * value, len(rows))
+        if len(idx):
+            score[full] = np.add.reduceat(w[idx] * value, at)
         edge = np.concatenate([[-np.inf], theta, [np.inf]])
         up, low = sig(edge[grades + 1] - score), sig(edge[grades] - score)
         p = np.maximum(up - low, 1e-12)
@@ -117,7 +124,9 @@ def fit(rows: list[list[int]], grades: np.ndarray, n_features: int, l2: float =
         g_theta = np.zeros(k)
         np.add.at(g_theta, grades[grades < k], -(du * share)[grades < k])
         np.add.at(g_theta, grades[grades > 0] - 1, (dl * share)[grades > 0])
-        g_w = np.bincount(idx, g_score[owner] * value, n_features) + l2 * w
+        g_w = l2 * w
+        if len(idx):
+            g_w[met] += np.add.reduceat(g_score[owner_of] * value_of, first)
         tail = np.cumsum(g_theta[::-1])[::-1]
         g = np.concatenate([g_w, [tail[0]], tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
