@@ -28,7 +28,7 @@ from lectern.llm.common import released, small_batches, texts
 #: Characters of text whose new pre-tokens share one queue.
 BUFFER_CHARS = 1_000_000
 #: Units whose ids a worker remembers from one buffer to the next.
-KNOWN_UNITS = 250_000
+KNOWN_UNITS = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -253,21 +253,6 @@ class Bpe:
                 out.append(b"".join([*map(ids.__getitem__, self.find(first)), *map(known.__getitem__, units)]))
         return out
 
-    def encode_some(self, docs: list[str | None]) -> Iterator[bytes]:
-        """The same, with as many texts at a time as a buffer holds."""
-        first = size = 0
-        for k, text in enumerate(docs):
-            size += len(text or "")
-            if size >= BUFFER_CHARS or k + 1 == len(docs):
-                yield from self.encode_all(docs[first:k + 1])
-                first, size = k + 1, 0
-
-    def sizes(self) -> np.ndarray:
-        """Bytes of each id's token."""
-        out = np.zeros(self.barrier, np.int64)
-        out[list(self.vocab)] = [len(t) for t in self.vocab.values()]
-        return out
-
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
