@@ -60,13 +60,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Bytes of a checkpoint that a task reads at least, so that small results don't keep as many tasks as the shuffle they come from.
+PART_BYTES = 4 << 20
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialize ``df`` in the shared checkpoint folder and cut its lineage."""
     spark = df.sparkSession
     where = checkpoint_dir(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    rdd = out._jdf.queryExecution().logical().rdd()
+    path = spark._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    parts = max(1, -(-size // PART_BYTES))
+    return out.coalesce(parts) if parts < rdd.getNumPartitions() else out
 
 
 def unused(df: DataFrame) -> str:
@@ -88,15 +97,18 @@ HEAVY_KEYS = 65_536
 def heavy_join(rows: DataFrame, table: DataFrame, key: str | list[str], count_col: str, least: int = 128, narrow: str = "true") -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row a key and the number of rows with that key, without one task for a hot key.
 
-    Keys with more than their share of 1 / HEAVY_KEYS of all rows, and ``least``, are HEAVY_KEYS at most: they are broadcast, and their rows aren't shuffled.
+    Keys with more than ``least`` rows are broadcast, and their rows aren't shuffled; where these are more than HEAVY_KEYS, it is those with more than their share of
+    1 / HEAVY_KEYS of all rows, which can't be.
     ``narrow`` is a condition on rows of ``table`` that bounds the size of those that may be broadcast, where their columns don't.
     """
     keys = [key] if isinstance(key, str) else key
-    total = table.agg(F.sum(count_col)).first()[0] or 0
-    edge = max(least, total // HEAVY_KEYS)
-    heavy = f"{count_col} > {edge} and coalesce({narrow}, false)"
+    heavy = f"{count_col} > {least} and coalesce({narrow}, false)"
     hot = cut(table.where(heavy))
-    if hot.isEmpty():
+    n = hot.count()
+    if n > HEAVY_KEYS:
+        heavy += f" and {count_col} > {table.agg(F.sum(count_col)).first()[0] // HEAVY_KEYS}"
+        hot = hot.where(heavy)
+    if not n:
         return rows.join(table, keys)
     light = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(f"not ({heavy})"), keys)
     return rows.join(F.broadcast(hot), keys).unionByName(light)

@@ -337,18 +337,18 @@ def linked_lines(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -
     """(k1, k2, class, links): lines that are linked with any other one; the class is a line's hash."""
     spark = docs.sparkSession
     met = cut(lists(docs, id_col, text_col))
-    pairs = met.select("k1", "head").distinct()
+    pairs = cut(met.select("k1", "head").distinct())
     lines = cut(tied_lines(docs, reps, pairs.select("k1").union(pairs.select("head")).distinct(), id_col, text_col))
     first = cut(met_heads(pairs, lines))
     classes = components(spark, first).select(F.col("node").alias("k"), F.col("component").alias("class"))
     # a line on both sides of a list stands there once a side; heads have met all of theirs
-    listed = met.where("m > 2").select("key", "k1", "posted").distinct().join(lines, "k1").join(classes, "k", "left").withColumn("class", F.coalesce("class", "k"))
+    listed = met.where("m > 2").select("key", "k1", "posted").distinct().join(lines.select("k1", "k"), "k1").join(classes, "k", "left").withColumn("class", F.coalesce("class", "k"))
     listed = cut(listed)
     still = listed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("posted").alias("any"), F.count(F.lit(1)).alias("m")).where("any and lo <> hi")
     more = cut(heavy_join(listed, still.select("key", "m"), "key", "m"))
     links = first
     if not more.isEmpty():
-        links = cut(first.unionByName(met_in_lists(more)))
+        links = cut(first.unionByName(met_in_lists(more.join(lines.select("k", "line"), "k"))))
         classes = components(spark, links).select(F.col("node").alias("k"), F.col("component").alias("class"))
     classes = cut(classes)
     sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("m"))
@@ -365,11 +365,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nameless = lines_of(docs.where(F.col(id_col).isNull()), id_col, text_col)
     each = named.select("id", "g", F.explode(F.arrays_zip("at", "k1", "k2")).alias("x")).select("id", "g", F.col("x.at").alias("at"), F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2"))
     reps = cut(each.groupBy("k1", "k2").agg(F.min(F.struct("id", "g", "at")).alias("place"), F.count(F.lit(1)).alias("c")))
-    linked = cut(linked_lines(docs, reps, id_col, text_col))
-    known = linked.join(reps, ["k1", "k2"])
-    firsts = known.groupBy("class").agg(F.min("place").alias("first"))
-    table = reps.join(known.join(firsts, "class").select("k1", "k2", "first", "links"), ["k1", "k2"], "left").select(
-        "k1", "k2", "c", F.coalesce("first", "place").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
+    linked = linked_lines(docs, reps, id_col, text_col)
+    known = cut(reps.join(linked, ["k1", "k2"], "left"))
+    own = known.where("class is null").select("k1", "k2", "c", F.col("place").alias("first"), F.lit(0).cast("long").alias("links"))
+    firsts = known.where("class is not null").groupBy("class").agg(F.min("place").alias("first"))
+    table = own.unionByName(known.where("class is not null").join(firsts, "class").select("k1", "k2", "c", "first", "links"))
     per = heavy_join(each, table, ["k1", "k2"], "c").groupBy("id", "g").agg(F.array_sort(F.collect_list(F.struct("at", "first", "links"))).alias("l"))  # of one document
     gone = F.expr("transform(filter(l, x -> not (x.first.id = id and x.first.g = g and x.first.at = x.at)), x -> x.at)")
     place = "struct(x.first.id as doc, x.first.at as line)"
