@@ -61,7 +61,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of a checkpoint that a task reads at least, so that small results don't keep as many tasks as the shuffle they come from.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -218,7 +218,7 @@ def links(docs: DataFrame, reps: DataFrame, known: DataFrame, k: int, percent: i
     joined = members.where("c > 2").select("token", "id", "g").join(comp, "id", "left").select("token", "id", "g", F.coalesce("component", "id").alias("component"))
     joined = cut(joined)
     open_ = joined.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("token", "m")
-    lists = cut(joined.join(open_, "token"))
+    lists = cut(heavy_join(joined, open_, "token", "m"))
     if lists.isEmpty():
         return first
     return cut(first.unionByName(met_in_lists(lists, sets, least, percent)))  # before Python contracts them: one worker a task
