@@ -76,18 +76,6 @@ def tokens(text: Column) -> Column:
     return F.transform(runs, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(F.translate(t, _WITH, _WITHOUT), r"\p{Mn}", "")))
 
 
-def token_count(lower: Column) -> Column:
-    """Number of tokens of a lower-case text, without folding them."""
-    return F.regexp_count(lower, F.lit(rf"[{WORD}][{WORD}\p{{Mn}}]*+"))
-
-
-def term_count(lower: Column, term: str) -> Column:
-    """How many tokens of a lower-case text fold to ``term``, without folding any: each letter matches with and without its marks."""
-    letters = ["[" + c + "".join(a for a, b in zip(_WITH, _WITHOUT, strict=True) if b == c) + "]" for c in term]
-    before = rf"(?<![{WORD}]\p{{Mn}}{{0,8}}{letters[0]})"
-    return F.regexp_count(lower, F.lit(letters[0] + before + r"\p{Mn}*+" + "".join(x + r"\p{Mn}*+" for x in letters[1:]) + rf"(?![{WORD}])"))
-
-
 def query_terms(query: str) -> list[str]:
     """Distinct compatibility-normalized lower-case terms in the order of the query. Documents aren't so normalized."""
     return list(dict.fromkeys(re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", query.lower()))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import fold, query_terms, raw_lines, term_count, token_count, tokens, without_ending
+from lectern.functions.text import fold, query_terms, raw_lines, tokens, without_ending
 
 #: The ranking function's usual parameters, and the least weight of a term that half of the passages or more hold.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -27,6 +27,10 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(value <= 0, F.lit(FLOOR)).otherwise(value)
 
 
+def _equal_to(term: str) -> Column:
+    return F.filter("_t", lambda x: x == F.lit(term))
+
+
 def hits(passages: DataFrame, query: str) -> DataFrame:
     """Passages with a term of the query, with score (lower is better). Columns of ``passages`` stay.
 
@@ -36,9 +40,9 @@ def hits(passages: DataFrame, query: str) -> DataFrame:
     wanted = [w for t in query_terms(query) if (w := fold(t))]
     if not wanted:
         return passages.withColumn("score", F.lit(0.0)).limit(0)
-    # through a generator, which no filter is pushed below: else each use of the counts would search the text again
-    own = passages.withColumn("_low", F.lower("content")).select(*passages.columns, F.explode(F.array(F.struct(
-        token_count(F.col("_low")).alias("_len"), F.array(*[term_count(F.col("_low"), w) for w in wanted]).alias("_tf")))).alias("_c"))
+    # through a generator, which no filter is pushed below: else each use of the counts would cut the text into tokens again
+    own = passages.withColumn("_t", tokens(F.col("content"))).select(*passages.columns, F.explode(F.array(F.struct(
+        F.size("_t").alias("_len"), F.array(*[F.size(_equal_to(w)) for w in wanted]).alias("_tf")))).alias("_c"))
     counted = own.select(*passages.columns, "_c._len", "_c._tf")
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[
         F.sum((F.col("_tf")[k] > 0).cast("long")).alias(f"_df{k}") for k in range(len(wanted))])
