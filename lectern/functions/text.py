@@ -146,5 +146,8 @@ def release(text: Column) -> Column:
 
 
 def civil_date(days: Column) -> Column:
-    """The calendar date so many days after 1970-01-01, as YYYY-MM-DD."""
-    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")), "yyyy-MM-dd")
+    """The calendar date so many days after 1970-01-01, as YYYY-MM-DD; a year past 9999 has more digits and no plus, one below 0 a minus and no zeros before it."""
+    date = F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
+    padded = lambda part, size: F.lpad(part.cast("string"), size, "0")
+    year = F.when(F.year(date).between(0, 999), padded(F.year(date), 4)).otherwise(F.year(date).cast("string"))
+    return F.concat(year, F.lit("-"), padded(F.month(date), 2), F.lit("-"), padded(F.dayofmonth(date), 2))

@@ -1,6 +1,7 @@
 import re
 import sqlite3
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -46,6 +47,20 @@ def test_real_date(spark, text, want):
     assert bool(one(spark, X.real_date(F.col("p")), p=text)) is want
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Pacific/Apia"])
+def test_civil_date_as_the_sql(spark, zone):
+    """Any year, zeros before short ones only, and in a zone that left a day out."""
+    days = [*range(-719_900, 2_933_000, 997), -2_147_483_646, -4_371_953, -719_529, -719_528, -719_163, -719_162, -354_286, -354_285, -1, 0, 15_338, 2_932_896, 2_932_897, 26_979_997, 2_147_483_646]
+    want = duckdb.execute("SELECT strftime(DATE '1970-01-01' + d::INTEGER, '%Y-%m-%d') FROM (SELECT unnest(?) AS d)", [days]).fetchall()
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = spark.createDataFrame([(i, d) for i, d in enumerate([*days, None])], "i int, d long").select("i", X.civil_date(F.col("d")).alias("x")).orderBy("i").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+    assert [r["x"] for r in got] == [w for w, in want] + [None]
+
+
 @pytest.mark.parametrize(("text", "want"), [("Hello, World!", "hello-world"), ("A  b_c-d", "a--b_c-d"), ("Café (x)", "café-x")])
 def test_slug(spark, text, want):
     assert one(spark, X.slug(F.col("p")), p=text) == want
