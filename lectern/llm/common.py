@@ -64,13 +64,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 PART_BYTES = 1 << 20
 
 
+@contextlib.contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of plans that are made inside go when these have run, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder and cut its lineage."""
+    """Materialize ``df`` in the shared checkpoint folder and cut its lineage; the shuffles that it took leave the disk at once."""
     spark = df.sparkSession
     where = checkpoint_dir(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
-    out = df.checkpoint(eager=True)
+    with shuffles_released(spark):
+        out = df.select("*").checkpoint(eager=True)  # a plan of its own, which nothing else runs again
     rdd = out._jdf.queryExecution().logical().rdd()
     path = spark._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
     size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()

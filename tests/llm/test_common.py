@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -51,3 +52,32 @@ def test_heavy_join_as_a_plain_one(spark):
     for options in ({}, {"least": 10**6}, {"narrow": "y > 0"}, {"least": 0}):
         assert sorted(map(tuple, heavy_join(rows, table, "k", "c", **options).select("k", "x", "y").collect())) == want
     assert heavy_join(rows.limit(0), table.limit(0), "k", "c").count() == 0
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_cut_leaves_no_shuffle_on_disk(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(key, None), shuffle_files(spark)
+    df = spark.range(10_000).selectExpr("id", "id % 100 as k").groupBy("k").agg({"id": "sum"}).repartition(3, "k")
+    out = C.cut(df)
+    until = time.monotonic() + 10  # executors are told, not waited for
+    while shuffle_files(spark) - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before  # df is still held, so no collection of garbage can have done it
+    assert spark.conf.get(key, None) == was
+    assert sorted(out.collect()) == sorted(df.collect())  # what was cut can be run again, too
+
+
+def test_setting_comes_back_after_a_failure(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(key, "false")
+    try:
+        with pytest.raises(Exception, match="no such"):
+            C.cut(spark.range(3).selectExpr("id", "raise_error('no such') as x"))
+        assert spark.conf.get(key) == "false"
+    finally:
+        spark.conf.unset(key)
